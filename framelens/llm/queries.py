@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelens.llm import neardup
+from pyspark.sql import functions as F
+
+from framelens.llm import crosssplit, neardup
 from framelens.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an evaluation and a training article, the smaller key first."""
+    found = crosssplit.overlaps(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "article_splits"), least=0.6)
+    return found.select(F.least("eval_id", "train_id").alias("article_id_a"), F.greatest("eval_id", "train_id").alias("article_id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of the evaluation splits that overlap the training split, per split and source."""
+    return crosssplit.report(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "article_splits"), least=0.6)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "sample_articles"), threshold=0.6)
 
