@@ -38,7 +38,7 @@ def sketches(articles: DataFrame, key: str = "article_id", k: int = K) -> DataFr
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("key", "c1", "c2", "n", "sketch", "m0", "m1", "m2", "m3")}
+            out = {c: [] for c in ("key", "c1", "c2", "n", "size", "sketch", "m0", "m1", "m2", "m3")}
             for key_, title, content in zip(b["key"], b["title"], b["content"]):
                 text = P.normalised(title, content)
                 low = P.bottom_k(hashes := P.snippet_hashes(text), k)
@@ -48,24 +48,28 @@ def sketches(articles: DataFrame, key: str = "article_id", k: int = K) -> DataFr
                 bits[low & np.uint64(255)] = True
                 maps = np.packbits(bits).view(np.int64)
                 digest = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
-                row = (key_, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, len(hashes), low.view(np.int64), *map(int, maps))
+                row = (key_, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, len(hashes), len(low), low.view(np.int64), *map(int, maps))
                 for c, v in zip(out, row):
                     out[c].append(v)
             yield out
 
     df = articles.where((F.char_length("content") >= P.LEAST_CONTENT) & F.col(key).isNotNull()).select(F.col(key).alias("key"), "title", "content")
-    return map_rows(spread(df), run, "key string, c1 bigint, c2 bigint, n bigint, sketch array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
+    return map_rows(spread(df), run, "key string, c1 bigint, c2 bigint, n bigint, size int, sketch array<bigint>, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
 
 
 def classes(sketched: DataFrame) -> DataFrame:
-    """One row a class of equal normalised texts: rep (its smallest key), sketch and maps. Combined before the shuffle."""
-    rest = ["n", "sketch", "m0", "m1", "m2", "m3"]
-    return sketched.groupBy("c1", "c2").agg(F.min("key").alias("rep"), *(F.first(c).alias(c) for c in rest)).withColumn("rid", F.monotonically_increasing_id())
+    """One row a class of equal normalised texts: rep (its smallest key), rid (the number of that row), sketch and maps.
+
+    Combined before the shuffle. It isn't written: whoever uses it reads only the columns it needs.
+    """
+    rest = ["n", "size", "sketch", "m0", "m1", "m2", "m3"]
+    best = sketched.groupBy("c1", "c2").agg(F.min(F.struct("key", "row")).alias("w"), *(F.first(c).alias(c) for c in rest))
+    return best.select("c1", "c2", F.col("w.key").alias("rep"), F.col("w.row").alias("rid"), *rest)
 
 
 def prefixes(reps: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(value, rid) for the values of each sketch that must hold one common to any partner, rarest first."""
-    values = reps.select("rid", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+    values = reps.select("rid", "size", F.explode("sketch").alias("value"))
     live = values.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1")
     # one group is one sketch, at most K values
     ranked = live.groupBy("rid", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
@@ -76,20 +80,20 @@ def prefixes(reps: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> D
 def candidates(reps: DataFrame, threshold: float, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(a, b): pairs of class numbers, a < b, that may reach the threshold."""
     maps = ["m0", "m1", "m2", "m3"]
-    side = prefixes(reps, k, least_shared).join(reps.select("rid", "n", F.size("sketch").alias("size"), *maps), "rid")
-    left = side.select("value", *(F.col(c).alias(f"a_{c}") for c in ("rid", "n", "size", *maps)))
-    right = side.select("value", *(F.col(c).alias(f"b_{c}") for c in ("rid", "n", "size", *maps)))
+    side = prefixes(reps, k, least_shared).join(reps.select("rid", "n", "size", *maps).withColumnRenamed("size", "in_sketch"), "rid")
+    left = side.select("value", *(F.col(c).alias(f"a_{c}") for c in ("rid", "n", "in_sketch", *maps)))
+    right = side.select("value", *(F.col(c).alias(f"b_{c}") for c in ("rid", "n", "in_sketch", *maps)))
     shared_bits = sum((F.bit_count(F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}"))) for m in maps), F.lit(0))
     # two different retained values fall on the same bit now and then: of 26 shared, 22 bits are left at least
-    allowed = shared_bits >= F.least("a_size", "b_size") * (least_shared / k) * 0.84
+    allowed = shared_bits >= F.least("a_in_sketch", "b_in_sketch") * (least_shared / k) * 0.84
     fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold * 0.7
     pairs = left.join(right, "value").where(F.col("a_rid") < F.col("b_rid")).where(allowed & fits)
     return pairs.select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct()
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, threshold: float, k: int = K) -> DataFrame:
+def estimated(pairs: DataFrame, sketched: DataFrame, threshold: float, k: int = K) -> DataFrame:
     """Pairs whose union sketch (the k smallest values of both) holds enough values of both."""
-    s = reps.select("rid", "sketch", "rep")
+    s = sketched.select(F.col("row").alias("rid"), "sketch", F.col("key").alias("rep"))
     both = pairs.join(s.select(F.col("rid").alias("a"), F.col("sketch").alias("sa"), F.col("rep").alias("rep_a")), "a")
     both = both.join(s.select(F.col("rid").alias("b"), F.col("sketch").alias("sb"), F.col("rep").alias("rep_b")), "b")
     union = F.slice(F.array_sort(F.array_union(F.transform("sa", _unsigned), F.transform("sb", _unsigned))), 1, k)
@@ -154,10 +158,10 @@ def verified(pairs: DataFrame, articles: DataFrame, threshold: float, key: str =
 
 def links(articles: DataFrame, threshold: float = 0.8, key: str = "article_id") -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives with their similarity, membership: key, rep). Both rest on written tables."""
-    sketched = cut(sketches(articles, key), "sketches")
-    reps = cut(classes(sketched), "classes")
+    sketched = cut(sketches(articles, key).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    reps = classes(sketched)
     members = sketched.select("key", "c1", "c2").distinct().join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select("key", "rep")
-    near = cut(estimated(candidates(reps, threshold), reps, threshold), "near")
+    near = cut(estimated(candidates(reps, threshold), sketched, threshold), "near")
     return verified(near, articles, threshold, key), members
 
 
