@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from framelens.llm import crosssplit, neardup
+from framelens.llm import crosssplit, neardup, sentences
 from framelens.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every article whose content isn't garbled."""
+    return sentences.split_sentences(table(spark, sf_dir, "sample_articles")).drop("unit_no")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an evaluation and a training article, the smaller key first."""
     found = crosssplit.overlaps(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "article_splits"), least=0.6)
