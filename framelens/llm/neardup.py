@@ -93,7 +93,8 @@ def candidates(reps: DataFrame, threshold: float, k: int = K, least_shared: int
 
 def estimated(pairs: DataFrame, sketched: DataFrame, threshold: float, k: int = K) -> DataFrame:
     """Pairs whose union sketch (the k smallest values of both) holds enough values of both."""
-    s = sketched.select(F.col("row").alias("rid"), "sketch", F.col("key").alias("rep"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    s = sketched.select(F.col("row").alias("rid"), "sketch", F.col("key").alias("rep")).join(small(named), "rid", "left_semi")
     both = pairs.join(s.select(F.col("rid").alias("a"), F.col("sketch").alias("sa"), F.col("rep").alias("rep_a")), "a")
     both = both.join(s.select(F.col("rid").alias("b"), F.col("sketch").alias("sb"), F.col("rep").alias("rep_b")), "b")
     union = F.slice(F.array_sort(F.array_union(F.transform("sa", _unsigned), F.transform("sb", _unsigned))), 1, k)
@@ -161,7 +162,7 @@ def links(articles: DataFrame, threshold: float = 0.8, key: str = "article_id")
     sketched = cut(sketches(articles, key).withColumn("row", F.monotonically_increasing_id()), "sketches")
     reps = classes(sketched)
     members = sketched.select("key", "c1", "c2").distinct().join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select("key", "rep")
-    near = cut(estimated(candidates(reps, threshold), sketched, threshold), "near")
+    near = cut(estimated(cut(candidates(reps, threshold), "candidates"), sketched, threshold), "near")
     return verified(near, articles, threshold, key), members
 
 

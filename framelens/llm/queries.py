@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from framelens.llm import crosssplit, neardup, sentences
+from framelens.llm import crosssplit, encoding, neardup, pieces, sentences
 from framelens.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and contents with any garbled text."""
+    return encoding.found(table(spark, sf_dir, "sample_articles"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled titles and contents as they were written, as far as it can be known."""
+    return encoding.restored(table(spark, sf_dir, "sample_articles"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every article whose content isn't garbled."""
     return sentences.split_sentences(table(spark, sf_dir, "sample_articles")).drop("unit_no")
@@ -26,6 +36,17 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.report(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "article_splits"), least=0.6)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles above the limit: cut by force somewhere, or at natural boundaries only."""
+    cuts = pieces.pieces(table(spark, sf_dir, "sample_articles"))
+    return cuts.groupBy("article_id").agg(F.when(F.bool_or("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pieces of at most 3,000 characters, each starting with up to the last 200 characters of the one before."""
+    return pieces.pieces(table(spark, sf_dir, "sample_articles"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "sample_articles"), threshold=0.6)
 
