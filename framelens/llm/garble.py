@@ -29,6 +29,8 @@ CYRILLIC_SWAPS = (("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"
 ORDINARY_CYRILLIC_COMPANY = set("«»…—–“”„‘’№ёЁ·•€™©®§°± ")
 
 RUN = re.compile(r"[^\x00-\x7f]+")
+CYRILLIC = re.compile("[А-я]")
+BYTES_AS_TEXT = re.compile("[‚ƒ\x81-\x9f]")
 ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#\d{2,5});")
 SHIFT_JIS = re.compile(r"(?:[\x81-\x9fƒ‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ\xe0-\xfc][\x40-\x7e\x80-\xffĀ-™])+")
 SWAPPED_CASE = re.compile(r"\b[а-яё][А-ЯЁ]{2,}\b")
@@ -47,6 +49,10 @@ def _table(codec: str) -> dict[str, int]:
 _TABLES = {c: _table(c) for c in {*UTF8_READ_AS, *(p[0] for p in (*LEGACY_PAIRS, *CYRILLIC_SWAPS))}}
 
 
+#: A run that begins with another character comes out of no single-byte codec.
+_KNOWN = frozenset(ch for t in _TABLES.values() for ch in t) | frozenset(map(chr, range(0x80, 0xA0)))
+
+
 def to_bytes(run: str, codec: str) -> bytes | None:
     table, out = _TABLES[codec], bytearray()
     for ch in run:
@@ -96,7 +102,7 @@ def script(ch: str) -> str:
 @lru_cache(maxsize=200_000)
 def utf8_misread(run: str) -> tuple[str, str] | None:
     """(wrong codec, text as written) of a run that is UTF-8 read with a single-byte codec, or None."""
-    if len(run) < 2:
+    if len(run) < 2 or run[0] not in _KNOWN:
         return None
     for codec in UTF8_READ_AS:
         raw = to_bytes(run, codec)
@@ -223,7 +229,8 @@ def suspects(text: str | None) -> list[tuple[str, str, str]]:
     if "�" in text:
         out.append(("lost", "�", ""))
     runs = set(RUN.findall(text))
-    shift_jis = shift_jis_misread(text) if "‚" in text or "ƒ" in text or any("\x81" <= c <= "\x9f" for run in runs for c in run) else []
+    joined = "".join(runs)
+    shift_jis = shift_jis_misread(text) if BYTES_AS_TEXT.search(joined) else []
     out += [(f"{prefix}cp1252>cp932", text[a:b], back) for a, b, back in shift_jis]
     for a, b, _ in shift_jis:
         runs -= set(RUN.findall(text[a:b]))
@@ -236,7 +243,7 @@ def suspects(text: str | None) -> list[tuple[str, str, str]]:
             out.append((f"{prefix}{part[0]}>utf-8", run, part[1]))
         elif (old := legacy_misread(run)) is not None:
             out.append((f"{prefix}{old[0]}>{old[1]}", run, old[2]))
-    if (swap := swapped_case(text)) is not None:
+    if CYRILLIC.search(joined) and (swap := swapped_case(text)) is not None:
         out.append((f"{prefix}{swap[0]}>{swap[1]}", swap[2], ""))
     return out
 
@@ -248,7 +255,7 @@ _PART = {c: re.compile("(?:[{2}][{0}]|[{3}][{0}][{0}]|[{4}][{0}][{0}][{0}])+".fo
 @lru_cache(maxsize=200_000)
 def _partly(run: str) -> tuple[str, str] | None:
     """A run garbled in part, or with some of its bytes lost: the sequences in it that still make UTF-8 must be most of it."""
-    if all("Ѐ" <= c for c in run):
+    if min(run) >= "Ѐ":
         return None
     for codec, pattern in _PART.items():
         hits = [h for h in (m.group() for m in pattern.finditer(run)) if (good := utf8_misread(h)) is not None and good[0] == codec]
