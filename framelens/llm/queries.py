@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from framelens.llm import crosssplit, encoding, neardup, pieces, sentences
+from framelens.llm import crosssplit, encoding, neardup, pieces, residue, sentences
 from framelens.session import table
 
 
@@ -51,5 +51,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "sample_articles"), threshold=0.6)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are template residue, filler, an error page or a demand for scripts in place of an article."""
+    return residue.found(table(spark, sf_dir, "documents"))
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without those of p10_found."""
+    return residue.without(table(spark, sf_dir, "documents"))
+
+
+def p10_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and furniture that recur over sources: normalised lines with their class, texts and sources."""
+    groups = residue.messages(residue.lines_of(table(spark, sf_dir, "documents")))
+    return groups.where("kind <> 'article' and kind <> 'headline' and n_sources > 1").select("line", "kind", "n_texts", "n_sources")
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
