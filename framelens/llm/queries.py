@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from pyspark.sql import functions as F
 
-from framelens.llm import crosssplit, encoding, neardup, pieces, residue, sentences
+from framelens.llm import crosssplit, encoding, grouped_split, mixing, neardup, packing, pieces, residue, sentences
 from framelens.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of related articles of each article, by source and authors."""
+    return grouped_split.groups(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "source_mapping"))
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article's split; related articles are never parted."""
+    return grouped_split.splits(p2_found(spark, sf_dir))
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles, groups and share of each split."""
+    s = p2_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_articles"), F.countDistinct("group_id").alias("n_groups"))
+    return s.withColumn("share", F.round(F.col("n_articles") / F.sum("n_articles").over(Window.partitionBy(F.lit(1))), 6))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and contents with any garbled text."""
     return encoding.found(table(spark, sf_dir, "sample_articles"))
@@ -51,6 +67,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.pairs(table(spark, sf_dir, "sample_articles"), threshold=0.6)
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of at most 2,048 tokens: which text, or which part of an oversized one, is in which."""
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill(p8_containers(spark, sf_dir))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the mix and how often each is used."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are template residue, filler, an error page or a demand for scripts in place of an article."""
     return residue.found(table(spark, sf_dir, "documents"))
