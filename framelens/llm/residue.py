@@ -122,14 +122,22 @@ _MASKS = (
 )
 
 
+#: What masks or gibberish must have somewhere; most lines have neither and are let through at once.
+_MASKABLE = re.compile(r"[\d@/]|www\.|\s\s|[\t\xa0]")
+_ODD = re.compile(r"(?i:lorem|ipsum|dolor|amet|consec|adipis|tempor|labor|aliqua|fugiat|mollit|pariat|culpa|velit|tetur)|[b-df-hj-np-tv-xz]{5}|x{3}")
+
+
 def masked(line: str) -> str:
-    for pattern, sign in _MASKS:
-        line = pattern.sub(sign, line)
+    if _MASKABLE.search(line):
+        for pattern, sign in _MASKS:
+            line = pattern.sub(sign, line)
     return line.strip().lower()
 
 
 def is_gibberish(line: str) -> bool:
     """Filler Latin, or letters typed at random: four of five words, five words at least."""
+    if not _ODD.search(line):
+        return False
     words = _WORD.findall(line)
     if len(words) < 5:
         return False
@@ -206,12 +214,18 @@ def lines_of(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
     return map_rows(spread(df), run, f"key {dict(documents.dtypes)[key]}, source string, field boolean, n_long int, lines array<struct<h:bigint,line:string>>")
 
 
-def messages(lines: DataFrame) -> DataFrame:
-    """(h, line, n_texts, n_sources, kind) of each group of lines with equal normalised form."""
+def messages(lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(h, line, n_texts, n_sources, kind) of each group of lines with equal normalised form, counted over all texts.
+
+    only: hashes of the groups whose class is wanted.
+    """
     flat = lines.select(F.lower(F.trim("source")).alias("source"), F.explode("lines").alias("l")).select("source", "l.h", "l.line")
     by_source = flat.groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
     groups = by_source.groupBy("h").agg(F.sum("n").alias("n_texts"), F.count("source").alias("n_sources"), F.min("line").alias("line"))
 
+    if only is not None:
+        groups = groups.join(only, "h", "left_semi")
+
     def run(batches):
         for b in batches:
             yield {**b, "kind": [classify(x, n) for x, n in zip(b["line"], b["n_sources"])]}
@@ -222,9 +236,10 @@ def messages(lines: DataFrame) -> DataFrame:
 def found(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key) of every text that is filler, a message or a demand for scripts, or an article with an unfilled field."""
     lines = cut(lines_of(documents, key, text, source), "lines")
-    kinds = messages(lines).select("h", "kind")
     # texts with an article and no unfilled field are settled; only the others need the classes of their lines
-    open_ = lines.where("not field and n_long = 0").select("key", F.explode("lines.h").alias("h")).join(kinds, "h")
+    unsettled = lines.where("not field and n_long = 0").select("key", F.explode("lines.h").alias("h"))
+    kinds = messages(lines, unsettled.select("h").distinct()).select("h", "kind")
+    open_ = unsettled.join(kinds, "h")
     bad = F.col("kind").isin("error", "script", "filler")
     judged = open_.groupBy("key").agg(F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(F.col("kind") == "article", 1)).alias("article"))
     by_field = lines.where("field").select("key")
