@@ -1 +1 @@
-
+"""Registered queries over whole tables and their equivalent SQL."""
