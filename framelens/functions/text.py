@@ -151,16 +151,38 @@ def statistics(text: Column, size: int = 50) -> Column:
 
 
 def frame_candidates(text: Column, size: int = 50) -> Column:
-    """map<frame, array of contexts>: for each indicator that is in the text, its whole-word matches with up to ``size``
-    characters of the same line around them, not overlapping; frames without any are left out."""
+    """map<frame, array of contexts>: for each indicator that is in the text, the contexts of its whole-word matches; frames
+    without any are left out. See ``context_windows``."""
     low = F.lower(text)
+    entries = (x for f, terms in L.FRAME_INDICATORS.items() for x in (F.lit(f), F.flatten(F.array(*(context_windows(low, t, size) for t in terms)))))
+    return F.map_filter(F.create_map(*entries), lambda _, v: F.size(v) > 0)
 
-    def of(term: str) -> Column:
-        pattern = rf"(?U).{{0,{size}}}\b{quote(term)}\b.{{0,{size}}}"
-        return F.when(low.contains(term), F.regexp_extract_all(low, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-    entries = (x for f, terms in L.FRAME_INDICATORS.items() for x in (F.lit(f), F.flatten(F.array(*map(of, terms)))))
-    return F.map_filter(F.create_map(*entries), lambda _, v: F.size(v) > 0)
+def context_windows(low: Column, term: str, size: int) -> Column:
+    """array<string>: what the pattern .{0,size}\\bterm\\b.{0,size} matches in each line, one after another without overlap.
+
+    The pattern itself tries ``size`` prefixes at every position. Here the places of the term are found first, and one pass
+    over them gives the same windows: a window begins ``size`` before the first place that is not covered yet, holds the last
+    place that ``size`` characters of prefix can reach, and ends ``size`` after it.
+    """
+    blank = "array<struct<s:int,p:int,e:int>>"
+
+    def of_line(line: Column) -> Column:
+        n = F.char_length(line)
+        start = F.array().cast(blank)
+
+        def step(done: Column, m: Column) -> Column:
+            at, end = m["start"], F.least(n, m["start"] + len(term) + size)
+            last = F.get(done, F.size(done) - 1)
+            new = F.array(F.struct(F.greatest(at - size, F.coalesce(last["e"], F.lit(0)), F.lit(0)).alias("s"), at.alias("p"), end.alias("e")))
+            longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), at.alias("p"), end.alias("e"))))
+            return F.when((F.size(done) > 0) & (at - last["s"] <= size), longer).when((F.size(done) == 0) | (at >= last["e"]), F.concat(done, new)).otherwise(done)
+
+        spans = F.aggregate(matches_at(line, whole_words([term])), start, step)
+        return F.transform(spans, lambda x: F.substring(line, x["s"] + 1, x["e"] - x["s"]))
+
+    lines = F.filter(F.split(low, "\n"), lambda x: x.contains(term))
+    return F.when(low.contains(term), F.flatten(F.transform(lines, of_line))).otherwise(F.array().cast("array<string>"))
 
 
 def simple_demographics(text: Column) -> Column:

@@ -31,7 +31,9 @@ def units(articles: DataFrame, text: str = "content", windows: bool = True) -> D
     """(article_id, unit_no, text): windows of sentences, or the whole text as one unit."""
     if not windows:
         return articles.select("article_id", F.lit(0).alias("unit_no"), F.col(text).alias("text"))
-    w = articles.select("article_id", F.explode(G.sliding_windows(X.sentences(F.col(text)))).alias("w"))
+    # the sentences are a column of their own, so that they are not cut again for each window
+    sents = articles.select("article_id", X.sentences(F.col(text)).alias("s"))
+    w = sents.select("article_id", F.explode(G.sliding_windows(F.col("s"))).alias("w"))
     return w.select("article_id", F.col("w.window_id").alias("unit_no"), F.col("w.text").alias("text"))
 
 

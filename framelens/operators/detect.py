@@ -75,9 +75,12 @@ class LexiconDetector:
     def scores(self, text: Column) -> Column:
         from framelens.functions import features as E
 
-        found = E.found_terms(text)
-        total = E.lexical_features(found, F.lit(1))
-        return F.create_map(*(x for f in L.FRAMES for x in (F.lit(f), 1.0 - 1.0 / (1.0 + total[f"{f}_total_score"]))))
+        def score(found: Column) -> Column:
+            total = E.lexical_features(found, F.lit(1))
+            return F.create_map(*(x for f in L.FRAMES for x in (F.lit(f), 1.0 - 1.0 / (1.0 + total[f"{f}_total_score"]))))
+
+        # through a lambda, so that the words are found once for all frames
+        return F.get(F.transform(F.array(E.found_terms(text)), score), F.lit(0))
 
 
 class EnsembleDetector:
@@ -100,10 +103,14 @@ def combine(scores: list[Column], weights: list[float]) -> Column:
     """Weighted sum of score maps over the frames of the first."""
     out = F.transform_values(scores[0], lambda _, v: v * F.lit(weights[0]))
     for s, w in zip(scores[1:], weights[1:]):
-        out = F.transform_values(out, lambda k, v, s=s, w=w: v + F.coalesce(F.try_element_at(s, k), F.lit(0.0)) * F.lit(w))
+        out = _plus(out, s, w)
     return out
 
 
+def _plus(total: Column, scores: Column, weight: float) -> Column:
+    return F.transform_values(total, lambda k, v: v + F.coalesce(F.try_element_at(scores, k), F.lit(0.0)) * F.lit(weight))
+
+
 class ModelDetector:
     """A model in Python workers. ``load`` is called once a worker and gives a function from a list of texts to a list of
     dicts frame -> score. ``max_batch`` texts go to the model at once."""
