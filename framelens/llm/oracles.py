@@ -9,7 +9,23 @@ _SIDES = "s AS (SELECT DISTINCT article_id, CASE lower(trim(split)) WHEN 'train'
 #: Whitespace and marks at which a text may be cut.
 _PAUSE = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？।؟።…]"
 
+_BLANK = r"[\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _trim(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+_NAMES = f"regexp_replace(trim(lower(regexp_replace(author, '{_BLANK}+', ' ', 'g'))), '^by\\b[ :]*', '')"
+
 ORACLES = {
+    "p2_found": f"WITH RECURSIVE m AS (SELECT lower({_trim('variant')}) AS v, min(lower({_trim('source')})) AS s FROM source_mapping GROUP BY 1), "
+    f"x AS (SELECT article_id, 's:' || coalesce(m.s, b) AS v FROM (SELECT article_id, lower({_trim('source')}) AS b FROM sample_articles) LEFT JOIN m ON m.v = b WHERE b <> '' "
+    f"UNION SELECT article_id, 'a:' || n FROM (SELECT article_id, regexp_replace(trim(unnest(string_split_regex({_NAMES}, ' and |;|&'))), '^by ', '') AS n FROM sample_articles) WHERE n NOT IN ('', 'staff', 'newsroom', 'editorial board')), "
+    "e AS (SELECT DISTINCT p.v AS a, q.v AS b FROM x p JOIN x q USING (article_id)), "
+    "r(a, b) AS (SELECT DISTINCT v, v FROM x UNION SELECT e.b, r.b FROM r JOIN e ON e.a = r.a), "
+    "c AS (SELECT a AS v, min(b) AS label FROM r GROUP BY 1), l AS (SELECT article_id, min(label) AS label FROM x JOIN c USING (v) GROUP BY 1), g AS (SELECT label, min(article_id) AS group_id FROM l GROUP BY 1) "
+    "SELECT DISTINCT o.article_id, coalesce(g.group_id, o.article_id) AS group_id FROM sample_articles o LEFT JOIN l ON l.article_id = o.article_id LEFT JOIN g ON g.label = l.label WHERE o.article_id IS NOT NULL",
     "p5_found": f"WITH {_ONE}, {_LONG}, {_SNIPPETS}, {_SIDES}, e AS (SELECT g.article_id AS e, g.g FROM g JOIN s ON s.article_id = g.article_id AND side = 'eval'), t AS (SELECT g.article_id AS t, g.g FROM g JOIN s ON s.article_id = g.article_id AND side = 'train'), "
     "c AS (SELECT e, t, count(*) AS c FROM e JOIN t USING (g) WHERE e <> t GROUP BY 1, 2) SELECT DISTINCT least(e, t) AS article_id_a, greatest(e, t) AS article_id_b FROM c JOIN n ON n.article_id = e WHERE c >= 0.6 * n.n",
     "p6_found": f"WITH {_ONE} SELECT article_id, CASE WHEN list_max(list_transform(string_split_regex(content, '{_PAUSE}'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut FROM o WHERE length(content) > 3000",
