@@ -134,8 +134,9 @@ def with_features(df: DataFrame, text: str = "text", kinds: Iterable[str] = ("le
     """df with a column a feature (``keep``: these columns of df only).
 
     The expensive parts (words found, contexts) are columns of their own first, so that they are computed once a row.
+    A kept column with the name of a feature gives way to it.
     """
-    kinds, keep = set(kinds), list(df.columns if keep is None else keep)
+    kinds, keep = set(kinds), [c for c in (df.columns if keep is None else keep) if c not in ("_found", "_words", "_contexts")]
     c = F.col(text)
     parts = {}
     if kinds & {"lexical", "demographic"}:
@@ -158,7 +159,7 @@ def with_features(df: DataFrame, text: str = "text", kinds: Iterable[str] = ("le
         out |= _near(F.col("_contexts"))
     if "size" in kinds:
         out |= {"text_length": F.char_length(c).cast("bigint"), "word_count": F.col("_words")}
-    return staged.select(*keep, *(v.alias(k) for k, v in out.items()))
+    return staged.select(*(c for c in keep if c not in out), *(v.alias(k) for k, v in out.items()))
 
 
 def numeric_features() -> list[str]:
@@ -179,8 +180,8 @@ def feature_vectors(segments: DataFrame, text: str = "text", fallback: str = "co
     named = segments.withColumn("_text", F.coalesce(*sources, F.lit("")))
     names = numeric_features()
     full = with_features(named, "_text", keep=segments.columns).fillna(0, subset=[n for n in names])
-    out = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(full)
-    cols = [F.col(c) for c in (*segments.columns, "features")]
+    out = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(full.drop("features"))
+    cols = [F.col(c) for c in (*(c for c in segments.columns if c != "features"), "features")]
     return out.select(*cols, multi_hot(F.col(labels)).alias("label_vector")) if labels else out.select(*cols)
 
 
