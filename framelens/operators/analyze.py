@@ -74,7 +74,7 @@ class FrameAnalyzer:
         positive = lambda m: F.map_filter(m, lambda _, v: v > 0)
         aggs = [means.alias("frame_scores"), positive(frame_n).alias("_f"), positive(group_n).alias("_g"), F.count(F.lit(1)).alias("segments_analyzed")]
         if detailed:
-            aggs.append(F.array_sort(F.collect_list(F.struct("unit_no", "text", "prediction", "demographics"))).alias("_units"))
+            aggs.append(F.array_sort(F.collect_list(F.struct("unit_no", "text", "prediction", "demographics")), lambda a, b: a["unit_no"] - b["unit_no"]).alias("_units"))
         out = u.groupBy("article_id").agg(*aggs)
         cols = [
             "article_id",

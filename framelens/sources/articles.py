@@ -78,7 +78,7 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwr
     elif format == "json":
         (w.option("compression", "gzip") if compress else w).json(path)
     elif format == "csv":
-        w = w.option("header", True).option("escape", '"').option("quoteAll", True)
+        w = w.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         (w.option("compression", "gzip") if compress else w).csv(path)
     else:
         raise ValueError(f"unknown format: {format}")
