@@ -112,8 +112,12 @@ def utf8_misread(run: str) -> tuple[str, str] | None:
             text = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if len(text) >= len(run) or not all(map(plausible, text)):
+        if len(text) >= len(run):
             continue
+        if not all(map(plausible, text)):
+            if (deeper := utf8_misread(text)) is None:
+                continue
+            text = deeper[1]  # garbled twice
         if codec in ("cp1251", "mac_cyrillic", "koi8-r", "cp866") and not (set(run) - ORDINARY_CYRILLIC_COMPANY - set(map(chr, range(0x410, 0x450)))):
             continue
         if codec in ("koi8-r", "cp866") and not (set(map(script, text)) & {"cyrillic"} or len(run) >= 3):
@@ -129,8 +133,8 @@ def _words_of(text: str, kinds: set[str], least: float) -> bool:
 
 def _common_gb(raw: bytes) -> bool:
     """Everyday Chinese: nearly all pairs of bytes are of the first level of the standard, or its punctuation."""
-    pairs = [b for b in raw[::2] if b >= 0x80]
-    return sum(0xA1 <= b <= 0xA3 or 0xB0 <= b <= 0xD7 for b in pairs) >= 0.8 * len(pairs)
+    pairs = list(zip(raw[::2], raw[1::2]))
+    return sum((0xA1 <= a <= 0xA3 or 0xB0 <= a <= 0xD7) and b >= 0xA1 for a, b in pairs) >= 0.8 * len(pairs)
 
 
 @lru_cache(maxsize=50_000)
@@ -239,10 +243,10 @@ def suspects(text: str | None) -> list[tuple[str, str, str]]:
             continue
         if (hit := utf8_misread(run)) is not None:
             out.append((f"{prefix}{hit[0]}>utf-8", run, restore(hit[1])))
-        elif (part := _partly(run)) is not None:
-            out.append((f"{prefix}{part[0]}>utf-8", run, part[1]))
         elif (old := legacy_misread(run)) is not None:
             out.append((f"{prefix}{old[0]}>{old[1]}", run, old[2]))
+        elif (part := _partly(run)) is not None:
+            out.append((f"{prefix}{part[0]}>utf-8", run, part[1]))
     if CYRILLIC.search(joined) and (swap := swapped_case(text)) is not None:
         out.append((f"{prefix}{swap[0]}>{swap[1]}", swap[2], ""))
     return out
@@ -266,6 +270,47 @@ def _partly(run: str) -> tuple[str, str] | None:
     return None
 
 
+def _read_again(run: str, wrong: str, true: str) -> str | None:
+    """A run read with another codec, if that works out and looks like text."""
+    raw = to_bytes(run, wrong)
+    if raw is None:
+        return None
+    try:
+        back = raw.decode(true)
+    except UnicodeDecodeError:
+        return None
+    return back if all(map(plausible, back)) else None
+
+
+def _undo_line(line: str, shown: list[str]) -> str:
+    """A line with its runs undone. shown: wrong codecs that clear runs elsewhere in the text prove.
+
+    A line in a legacy codec is one as a whole: its short runs, which prove nothing, follow the long ones.
+    """
+    if line.isascii():
+        return line
+    runs = RUN.findall(line)
+    old = {hit[:2] for r in runs if utf8_misread(r) is None and (hit := legacy_misread(r)) is not None}
+    legacy = next(iter(old)) if len(old) == 1 else None
+
+    def undo(m: re.Match) -> str:
+        run = m.group()
+        if (hit := utf8_misread(run)) is not None and (legacy is None or len(run) >= 4):
+            return hit[1]
+        if (hit := legacy_misread(run)) is not None:
+            return hit[2]
+        if legacy is not None and (back := _read_again(run, *legacy)) is not None:
+            return back
+        if (part := _partly(run)) is not None:
+            return part[1]
+        for wrong in dict.fromkeys(shown):
+            if len(run) >= 2 and (back := _read_again(run, wrong, "utf-8")) is not None and len(back) < len(run):
+                return back
+        return run
+
+    return RUN.sub(undo, line)
+
+
 def restore(text: str | None) -> str | None:
     """The text as it was written, as far as it can be known from the text alone; applied until nothing changes."""
     if not text or (text.isascii() and "&" not in text):
@@ -280,17 +325,10 @@ def restore(text: str | None) -> str | None:
         for a, b, back in reversed(spans):
             text = text[:a] + back + text[b:]
 
-        def undo(m: re.Match) -> str:
-            run = m.group()
-            if (hit := utf8_misread(run)) is not None:
-                return hit[1]
-            if (part := _partly(run)) is not None:
-                return part[1]
-            if (old := legacy_misread(run)) is not None:
-                return old[2]
-            return run
-
-        text = RUN.sub(undo, text)
+        # what the clear runs of the text show also holds for its unclear ones
+        shown = [hit[0] for r in set(RUN.findall(text)) if (hit := utf8_misread(r)) is not None]
+        lines = [_undo_line(line, shown) for line in text.split("\n")]
+        text = "\n".join(lines)
         if (swap := swapped_case(text)) is not None:
             text = swap_back(text, swap[0], swap[1])
         if text == before:
