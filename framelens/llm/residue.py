@@ -27,6 +27,9 @@ MESSAGE_LENGTH = 220
 #: A short line that recurs over so many sources is page furniture.
 FURNITURE_SOURCES = 3
 
+#: More lines without an end than this are the broken lines or list items of an article, not headlines.
+HEADLINES = 2
+
 # --- fixed values: template fields ------------------------------------------------------------------------------------
 FIELD = re.compile(
     r"""\{\{|\}\}|\{%|%\}|<%=?|%>            # template languages, also if cut in half
@@ -46,10 +49,10 @@ PHRASES = {
         ^(http\s+status|error|fehler|erreur|ошибка|エラー)\W*\d{3}
         ^\d{3}\W+(not\ found|page\ not\ found|forbidden|bad\ gateway|service\ unavailable|gateway\ time|internal\ server|too\ many|gone|bad\ request|unauthori[sz]ed|错误)
         ^(not\ found|page\ not\ found|forbidden|bad\ gateway|service\ unavailable|gateway\ time-?out|internal\ server\ error|too\ many\ requests|gone|bad\ request|unauthori[sz]ed)\W*(\(?\d{3}\)?)?\W*$
-        \b(page|story|article|item|document|content|video)\b.*\b(not\ found|(does\ not|doesn.t|no\ longer)\ exists?|no\ longer\ available|has\ been\ (taken\ down|removed|deleted)|has\ moved|may\ have\ (expired|moved)|is\ not\ available|not\ available\ right\ now|could\ not\ be\ (found|loaded)|cannot\ be\ (found|displayed))\b
+        \b(page|story|article|item|document|content|video|address|link|url)\b.*\b(not\ found|(does\ not|doesn.t|no\ longer)\ exists?|no\ longer\ available|has\ been\ (taken\ down|removed|deleted)|has\ moved|may\ have\ (expired|moved)|is\ not\ available|not\ available\ right\ now|could\ not\ be\ (found|loaded|shown|displayed)|cannot\ be\ (found|displayed|loaded))\b
         ^(oops|sorry|we.?re\ sorry|unfortunately|apologies)\b.*\b(page|story|article|item|address|document|content|link|video)\b
         \bfailed\ to\ load\b|\bcannot\ be\ shown\b
-        ^access\ denied
+        ^access\ denied\s*([.!:]|$)
         \b(do\ not|don.t)\ have\ permission\ to
         \b(site|server|service)\b.{0,25}\b(under|down\ for)\ maintenance\b
         \bserver\b.*\bnot\ reachable\b|\bdatabase\b.*\b(error|unavailable|not\ reachable)\b
@@ -71,7 +74,7 @@ PHRASES = {
     "script": r"""
         <noscript|</noscript>
         \b(enable|allow|activate|turn\ on|need|requires?|required|without|blocked|disabled|switch\ on)\b.*\b(java\s?script|js|scripts?|scripting|cookies)\b
-        \b(java\s?script|js|scripts?|scripting|cookies)\b.*\b(enable[ds]?|allow(ed)?|activate[ds]?|is\ required|are\ required|must|blocked|disabled|turned\ off|switched\ off)\b
+        \b(java\s?script|js|scripts?|scripting|cookies)\b.*\b(enable[ds]?|allow(ed)?|activate[ds]?|is\ required|are\ required|must|needs?\ to\ be|has\ to\ be|have\ to\ be|blocked|disabled|turned\ o(ff|n)|switched\ o(ff|n))\b
         \b(ad|content)\ blocker\ (found|detected)\b
         \bverify\ (that\ )?you\ are\ (a\ )?human\b|\bnot\ a\ robot\b|\bpress\ and\ hold\b
         ^checking\ your\ browser
@@ -164,13 +167,24 @@ def classify(line: str, n_sources: int) -> str:
         for kind in ("filler", "script", "error"):
             if RULES[kind].search(line):
                 return kind
-    if is_gibberish(line):
+    if is_gibberish(line) or is_filler(line):
         return "filler"
     if len(line) <= 160 and (not TERMINAL.search(line) or ABBREVIATED_END.search(line) and not re.search(r"[.!?…]\s", line[:-1])):
         return "headline"
     return "furniture" if n_sources >= FURNITURE_SOURCES and len(line) <= 60 and not quoted else "article"
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s*")
+
+
+def is_filler(line: str) -> bool:
+    """Every sentence of the line is filler. Most lines are settled by their first one."""
+    if any(c in line for c in "“”«»"):
+        return False
+    parts = [p for p in _SENTENCE_END.split(line) if p.strip()]
+    return bool(parts) and all(RULES["filler"].search(p) or is_gibberish(p) for p in parts)
+
+
 def unfilled(text: str) -> bool:
     """A template field that isn't quoted."""
     if not _MAYBE_FIELD.search(text):
@@ -204,7 +218,7 @@ def lines_of(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
                         continue
                     if len(line) <= MESSAGE_LENGTH:
                         lines[xxhash.xxh3_64_intdigest(masked(line).encode("utf-8", "surrogatepass")) - 2**63] = line
-                    elif is_gibberish(line):
+                    elif is_gibberish(line) or is_filler(line):
                         filler = True
                     else:
                         n_long += 1
@@ -243,9 +257,10 @@ def found(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     kinds = messages(lines, unsettled.select("h").distinct()).select("h", "kind")
     open_ = unsettled.join(kinds, "h")
     bad = F.col("kind").isin("error", "script", "filler")
-    judged = open_.groupBy("key").agg(F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(F.col("kind") == "article", 1)).alias("article"))
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(kind)
+    judged = open_.groupBy("key").agg(F.count(F.when(bad, 1)).alias("bad"), of("article"), of("headline"))
     by_field = lines.where("field").select("key")
-    return by_field.unionByName(judged.where("bad > 0 and article = 0").select("key")).distinct().withColumnRenamed("key", key)
+    return by_field.unionByName(judged.where(f"bad > 0 and article = 0 and headline <= {HEADLINES}").select("key")).distinct().withColumnRenamed("key", key)
 
 
 def without(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
