@@ -212,6 +212,13 @@ def swap_back(text: str, wrong: str, true: str) -> str:
     return re.sub(r"[^.!?\n]+[.!?]*", part, text)
 
 
+def _capital_and_mark(text: str, run: str) -> bool:
+    """A capital with an accent that ends a word in capitals, and the mark after it: ``ELLÅ’S``, ``ELVÃ©``."""
+    if len(run) != 2 or not run[0].isupper() or run[1] not in "’‘”“…—–®©²™":
+        return False
+    return all(text[i - 2 : i].isupper() and i >= 2 for i in (m.start() for m in re.finditer(re.escape(run), text)))
+
+
 def suspects(text: str | None) -> list[tuple[str, str, str]]:
     """(kind, run, text as written or '') for each garbled run of a text. Null and ASCII texts have none.
 
@@ -247,6 +254,8 @@ def suspects(text: str | None) -> list[tuple[str, str, str]]:
             out.append((f"{prefix}{old[0]}>{old[1]}", run, old[2]))
         elif (part := _partly(run)) is not None:
             out.append((f"{prefix}{part[0]}>utf-8", run, part[1]))
+    if len(out) == 1 and _capital_and_mark(text, out[0][1]):
+        out.clear()
     if CYRILLIC.search(joined) and (swap := swapped_case(text)) is not None:
         out.append((f"{prefix}{swap[0]}>{swap[1]}", swap[2], ""))
     return out
