@@ -322,7 +322,7 @@ def _undo_line(line: str, shown: list[str]) -> str:
 
 def restore(text: str | None) -> str | None:
     """The text as it was written, as far as it can be known from the text alone; applied until nothing changes."""
-    if not text or (text.isascii() and "&" not in text):
+    if not text or not suspects(text):
         return text
     for _ in range(3):
         before = text
