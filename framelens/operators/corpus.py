@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from framelens import lexicons as L
 from framelens.functions import text as X
-from framelens.functions.segments import sliding_windows  # noqa: F401  (part of the public surface)
+from framelens.session import cut
 
 
 def latest(articles: DataFrame, key: str = "article_id", order: str = "ingested_at") -> DataFrame:
@@ -86,28 +86,31 @@ def split_sizes(n: int, val: float = 0.2, test: float = 0.2, of_total: bool = Fa
     return train, rest - train, n - rest
 
 
+#: Rows in a range of hashes, on average, that one task puts in order.
+RANGE_ROWS = 50_000
+
+
 def train_val_test(articles: DataFrame, key: str = "article_id", val: float = 0.2, test: float = 0.2, seed: int = 42, by: str | None = None) -> DataFrame:
     """articles with ``split``: exact sizes, in an order drawn by the md5 of key and seed; within each ``by`` if given.
 
-    Without ``by``, no task holds all rows: the rank is the number of rows in the ranges of the hash before one's own, which
-    are counted first, and the rank within its range.
+    No task holds all rows, or all of a ``by``: the rank of a row is the number of rows in the ranges of the hash before its
+    own, which are counted first, and its rank within its range. A null ``by`` is a group like others.
     """
+    n_rows = articles.count()
+    digits = max(1, math.ceil(math.log(max(n_rows, 1) / RANGE_ROWS + 1, 16)))
+    group = [F.col(by).alias("_by")] if by is not None else [F.lit(0).alias("_by")]
     h = F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed))))
-    if by is not None:
-        w = Window.partitionBy(by)
-        ranked = articles.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rank", F.row_number().over(w.orderBy(h, key)))
-    else:
-        n = articles.count()
-        digits = max(1, math.ceil(math.log(max(n, 1) / 50_000 + 1, 16)))
-        keyed = articles.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, digits))
-        counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))  # 16 ** digits rows at most
-        before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-        within = F.row_number().over(Window.partitionBy("_range").orderBy("_h", key))
-        ranked = keyed.join(F.broadcast(before), "_range").withColumn("_rank", F.col("_before") + within).withColumn("_n", F.lit(n)).drop("_h", "_range", "_before")
+    keyed = articles.select(*articles.columns, *group, h.alias("_h")).withColumn("_range", F.substring("_h", 1, digits))
+    counts = keyed.groupBy("_by", "_range").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_by")  # 16 ** digits rows a group at most
+    before = counts.select(F.col("_by").alias("_by2"), F.col("_range").alias("_range2"), F.coalesce(F.sum("_c").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    within = F.row_number().over(Window.partitionBy("_by", "_range").orderBy("_h", key))
+    same = F.col("_by").eqNullSafe(F.col("_by2")) & (F.col("_range") == F.col("_range2"))
+    ranked = keyed.withColumn("_k", within).join(before, same, "inner").withColumn("_rank", F.col("_before") + F.col("_k"))
     rest = F.floor(F.col("_n") * F.lit(1 - test))
     train = F.floor(rest * F.lit(1 - val))
     split = F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= rest, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_n", "_rank")
+    return ranked.select(*(F.col(c) for c in articles.columns if c != "split"), split.alias("split"))
 
 
 def folds(articles: DataFrame, k: int = 5, key: str = "article_id", seed: int = 42) -> DataFrame:
@@ -116,9 +119,17 @@ def folds(articles: DataFrame, k: int = 5, key: str = "article_id", seed: int =
 
 
 def batches(df: DataFrame, size: int, order: str, within: str) -> DataFrame:
-    """df with ``batch``: consecutive slices of ``size`` rows in the given order inside each ``within``, the last one shorter."""
-    rank = F.row_number().over(Window.partitionBy(within).orderBy(order))
-    return df.withColumn("batch", F.floor((rank - 1) / size).cast("bigint"))
+    """df with ``batch``: consecutive slices of ``size`` rows in the given order inside each ``within``, the last one shorter.
+
+    Rows are put into ranges of the order first; a task ranks the rows of one range, and the ranges before are added. The
+    ranges are written to the shared folder, since they must be the same for counting and for ranking.
+    """
+    ranged = cut(df.repartitionByRange(F.col(within), F.col(order)).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(F.col(within).alias("_w"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_w", "_q", F.coalesce(F.sum("_c").over(Window.partitionBy("_w").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(within, "_p").orderBy(order))
+    ranked = ranked.withColumn("_k", rank).join(before, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_p") == F.col("_q")))
+    return ranked.select(*df.columns, F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("bigint").alias("batch"))
 
 
 def preprocess(articles: DataFrame) -> DataFrame:

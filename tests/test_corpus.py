@@ -91,11 +91,14 @@ def test_split_of_total():
     assert C.split_sizes(100, of_total=True) == (60, 20, 20)
 
 
-def test_ranked_split_is_one_order(spark):
+def test_ranked_split_is_one_order(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE_ROWS", 3)
     df = spark.range(400).select(F.concat(F.lit("art"), "id").alias("article_id"))
     whole = {r["article_id"]: r["split"] for r in C.train_val_test(df).collect()}
-    by_one = {r["article_id"]: r["split"] for r in C.train_val_test(df.withColumn("g", F.lit(1)), by="g").collect()}
-    assert whole == by_one
+    by_one = {r["article_id"]: r["split"] for r in C.train_val_test(df.withColumn("g", F.lit(None).cast("int")), by="g").collect()}
+    monkeypatch.setattr(C, "RANGE_ROWS", 10**9)
+    one_range = {r["article_id"]: r["split"] for r in C.train_val_test(df).collect()}
+    assert whole == by_one == one_range and len(whole) == 400
 
 
 def test_training_examples_and_exemplars(articles):
