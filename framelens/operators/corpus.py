@@ -128,7 +128,7 @@ def batches(df: DataFrame, size: int, order: str, within: str) -> DataFrame:
     counts = ranged.groupBy(F.col(within).alias("_w"), F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
     before = counts.select("_w", "_q", F.coalesce(F.sum("_c").over(Window.partitionBy("_w").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy(within, "_p").orderBy(order))
-    ranked = ranked.withColumn("_k", rank).join(before, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_p") == F.col("_q")))
+    ranked = ranged.withColumn("_k", rank).join(before, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_p") == F.col("_q")))
     return ranked.select(*df.columns, F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("bigint").alias("batch"))
 
 
