@@ -37,17 +37,20 @@ def quotes(text: Column, strict: bool = False) -> Column:
     """array<struct<text, attribution, full_match, pattern_id>>: straight-quoted speech in three passes, one after another,
     so that a quotation may come twice. strict takes the second pattern's parts in the order they stand, speaker as text."""
 
+    empty = F.array().cast("array<struct<text:string,attribution:string,full_match:string,pattern_id:int>>")
+    verbs = F.lower(text).rlike("said|says|according to|stated")
+
     def of(i: int, said: int, speaker: int | None) -> Column:
         p = "(?iU)" + L.QUOTE_PATTERNS[i]
-        whole, quoted = (F.regexp_extract_all(text, F.lit(p), F.lit(g)) for g in (0, said))
-        who = F.regexp_extract_all(text, F.lit(p), F.lit(speaker)) if speaker else F.transform(whole, lambda _: F.lit(None).cast("string"))
-        z = F.arrays_zip(quoted.alias("q"), who.alias("w"), whole.alias("m"))
-        empty = F.array().cast("array<struct<text:string,attribution:string,full_match:string,pattern_id:int>>")
-        # no pattern matches without a quotation mark; most texts have none, and the patterns are slow on long ones
-        return F.when(text.contains('"'), _speech(z, i)).otherwise(F.when(text.isNotNull(), empty))
 
-    def _speech(z: Column, i: int) -> Column:
-        return F.transform(z, lambda r: F.struct(X.strip(r["q"]).alias("text"), X.strip(r["w"]).alias("attribution"), r["m"].alias("full_match"), F.lit(i + 1).alias("pattern_id")))
+        # the parts are taken from each match, which is short, not by a pass over the text for each of them
+        def speech(m: Column) -> Column:
+            who = X.strip(F.regexp_extract(m, p, speaker)) if speaker else F.lit(None).cast("string")
+            return F.struct(X.strip(F.regexp_extract(m, p, said)).alias("text"), who.alias("attribution"), m.alias("full_match"), F.lit(i + 1).alias("pattern_id"))
+
+        # the patterns are slow on long texts, and match nothing without quotation marks and, but for the last, a verb
+        possible = text.contains('"') & verbs if speaker else text.contains('"')
+        return F.when(possible, F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), speech)).otherwise(F.when(text.isNotNull(), empty))
 
     return F.concat(of(0, 1, 2), of(1, 1, 2) if strict else of(1, 2, 1), of(2, 1, None))
 
@@ -57,9 +60,7 @@ def keyword_segments(text: Column, keywords: Iterable[str] = L.SEGMENT_KEYWORDS,
     whole-word match, snapped to the sentence where a period lies inside the piece."""
     low, n = F.lower(text), F.char_length(text)
 
-    def of(keyword: str) -> Column:
-        found = X.matches_at(low, X.whole_words([keyword.lower()]))
-
+    def of(t: Column) -> Column:
         def piece(m: Column) -> Column:
             at, end = m["start"], m["start"] + F.char_length(m["text"])
             left = F.substring(text, F.greatest(F.lit(0), at - size) + 1, F.least(at, F.lit(size)))
@@ -67,12 +68,11 @@ def keyword_segments(text: Column, keywords: Iterable[str] = L.SEGMENT_KEYWORDS,
             after = F.char_length(F.substring_index(left, ".", -1))
             start = F.when(left.contains("."), at - after).otherwise(F.greatest(F.lit(0), at - size))
             stop = F.when(right.contains("."), end + F.locate(".", right)).otherwise(F.least(n, end + size))
-            return F.struct(X.strip(F.substring(text, start + 1, stop - start)).alias("text"), F.lit(keyword).alias("keyword"), (at - start).alias("keyword_position"), start.alias("start"), stop.alias("end"))
+            return F.struct(X.strip(F.substring(text, start + 1, stop - start)).alias("text"), t["term"].alias("keyword"), (at - start).alias("keyword_position"), start.alias("start"), stop.alias("end"))
 
-        empty = F.array().cast("array<struct<text:string,keyword:string,keyword_position:int,start:int,end:int>>")
-        return F.when(low.contains(keyword.lower()), F.transform(found, piece)).otherwise(empty)
+        return F.transform(X.matches_at(low, t["pattern"]), piece)
 
-    flat = F.flatten(F.array(*map(of, keywords)))
+    flat = F.flatten(F.transform(X.present(low, keywords), of))
     return F.transform(flat, lambda s, i: F.struct(s["text"].alias("text"), s["keyword"].alias("keyword"), s["keyword_position"].alias("keyword_position"), s["start"].alias("start"), s["end"].alias("end"), i.alias("segment_id")))
 
 

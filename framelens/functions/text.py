@@ -47,7 +47,15 @@ def tokens(c: Column) -> Column:
 
 
 def whole_words(terms: Iterable[str]) -> str:
-    return r"(?U)\b(?:" + "|".join(map(quote, terms)) + r")\b"
+    """Pattern of any of the terms as a whole word.
+
+    A single term stands first in its pattern, with the look behind it after it: the engine then searches for the literal
+    and tests for a word's beginning only where it is found, not at every character.
+    """
+    quoted = list(map(quote, terms))
+    if len(quoted) == 1:
+        return rf"(?U){quoted[0]}(?<!\w{quoted[0]})(?!\w)"
+    return r"(?U)\b(?:" + "|".join(quoted) + r")\b"
 
 
 def sentences(c: Column, longer_than: int = MIN_SENTENCE) -> Column:
@@ -62,13 +70,14 @@ def paragraphs(c: Column, longer_than: int = MIN_PARAGRAPH) -> Column:
     return F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), strip), lambda x: F.char_length(x) > longer_than)
 
 
-def matches_at(text: Column, pattern: str) -> Column:
+def matches_at(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, text>> of all matches with their 0-based offsets, in order.
 
     The pattern must not match the empty string, nor look around across its own ends but for word boundaries. The pieces
     between matches and the matches themselves are added up; no function of Spark gives offsets directly.
     """
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -92,19 +101,24 @@ def term_contexts(text: Column, terms: Iterable[str], size: int) -> Column:
     """
     low, n = F.lower(text), F.char_length(text)
 
-    def of(term: str) -> Column:
-        found = matches_at(low, whole_words([term]))
-        context = lambda m: F.struct(
-            F.lit(term).alias("term"),
-            F.greatest(F.lit(0), m["start"] - size).alias("start"),
-            F.least(n, m["start"] + F.char_length(m["text"]) + size).alias("end"),
-            around(text, m["start"], m["start"] + F.char_length(m["text"]), size).alias("context"),
-        )
-        empty = F.array().cast("array<struct<term:string,start:int,end:int,context:string>>")
-        # a substring test is far cheaper than the pattern and fails for most terms
-        return F.when(low.contains(term), F.transform(found, context)).otherwise(empty)
+    def of(t: Column) -> Column:
+        def context(m: Column) -> Column:
+            end = m["start"] + F.char_length(m["text"])
+            return F.struct(t["term"].alias("term"), F.greatest(F.lit(0), m["start"] - size).alias("start"), F.least(n, end + size).alias("end"), around(text, m["start"], end, size).alias("context"))
+
+        return F.transform(matches_at(low, t["pattern"]), context)
 
-    return F.flatten(F.array(*map(of, terms)))
+    return F.flatten(F.transform(present(low, terms), of))
+
+
+def present(low: Column, terms: Iterable[str]) -> Column:
+    """array<struct<term, pattern>> of the terms that are in a text at all, in the order given.
+
+    The terms are data, so that the plan stays as small for a hundred terms as for one. A substring test is far cheaper than
+    a pattern, and fails for most terms.
+    """
+    known = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(whole_words([t.lower()])).alias("pattern")) for t in terms))
+    return F.when(low.isNotNull(), F.filter(known, lambda t: low.contains(F.lower(t["term"]))))
 
 
 def leadership_contexts(text: Column, size: int = 100) -> Column:
@@ -154,35 +168,38 @@ def frame_candidates(text: Column, size: int = 50) -> Column:
     """map<frame, array of contexts>: for each indicator that is in the text, the contexts of its whole-word matches; frames
     without any are left out. See ``context_windows``."""
     low = F.lower(text)
-    entries = (x for f, terms in L.FRAME_INDICATORS.items() for x in (F.lit(f), F.flatten(F.array(*(context_windows(low, t, size) for t in terms)))))
+    entries = (x for f, terms in L.FRAME_INDICATORS.items() for x in (F.lit(f), F.flatten(F.transform(present(low, terms), lambda t: context_windows(low, t, size)))))
     return F.map_filter(F.create_map(*entries), lambda _, v: F.size(v) > 0)
 
 
-def context_windows(low: Column, term: str, size: int) -> Column:
+def context_windows(low: Column, term: str | Column, size: int) -> Column:
     """array<string>: what the pattern .{0,size}\\bterm\\b.{0,size} matches in each line, one after another without overlap.
 
     The pattern itself tries ``size`` prefixes at every position. Here the places of the term are found first, and one pass
     over them gives the same windows: a window begins ``size`` before the first place that is not covered yet, holds the last
-    place that ``size`` characters of prefix can reach, and ends ``size`` after it.
+    place that ``size`` characters of prefix can reach, and ends ``size`` after it. ``term`` is a literal, or a struct of term
+    and pattern.
     """
-    blank = "array<struct<s:int,p:int,e:int>>"
+    if isinstance(term, str):
+        return F.flatten(F.transform(present(low, [term]), lambda t: context_windows(low, t, size)))
+    width = F.char_length(term["term"])
 
     def of_line(line: Column) -> Column:
         n = F.char_length(line)
-        start = F.array().cast(blank)
+        start = F.array().cast("array<struct<s:int,p:int,e:int>>")
 
         def step(done: Column, m: Column) -> Column:
-            at, end = m["start"], F.least(n, m["start"] + len(term) + size)
+            at, end = m["start"], F.least(n, m["start"] + width + size)
             last = F.get(done, F.size(done) - 1)
             new = F.array(F.struct(F.greatest(at - size, F.coalesce(last["e"], F.lit(0)), F.lit(0)).alias("s"), at.alias("p"), end.alias("e")))
             longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["s"].alias("s"), at.alias("p"), end.alias("e"))))
             return F.when((F.size(done) > 0) & (at - last["s"] <= size), longer).when((F.size(done) == 0) | (at >= last["e"]), F.concat(done, new)).otherwise(done)
 
-        spans = F.aggregate(matches_at(line, whole_words([term])), start, step)
+        spans = F.aggregate(matches_at(line, term["pattern"]), start, step)
         return F.transform(spans, lambda x: F.substring(line, x["s"] + 1, x["e"] - x["s"]))
 
-    lines = F.filter(F.split(low, "\n"), lambda x: x.contains(term))
-    return F.when(low.contains(term), F.flatten(F.transform(lines, of_line))).otherwise(F.array().cast("array<string>"))
+    lines = F.filter(F.split(low, "\n"), lambda x: x.contains(term["term"]))
+    return F.flatten(F.transform(lines, of_line))
 
 
 def simple_demographics(text: Column) -> Column:
