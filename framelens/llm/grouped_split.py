@@ -23,6 +23,8 @@ NOBODY = ("staff", "newsroom", "editorial board")
 SHARES = {"train": 0.64, "val": 0.16, "test": 0.20}
 #: Groups with more than one record in so many are placed one by one, the largest first; there are at most as many groups.
 LARGE = 1000
+#: The weights of the hashing are corrected so often at most, until every split is within CLOSE of its share of all records.
+ROUNDS, CLOSE = 8, 0.0005
 
 
 def squeezed(c: Column) -> Column:
@@ -83,9 +85,18 @@ def groups(articles: DataFrame, mapping: DataFrame, key: str = "article_id") ->
     return every.join(grouped, "key", "left").select(F.col("key").alias(key), F.coalesce("group_id", "key").alias("group_id"))
 
 
+def drawn(weights: dict[str, float], seed: int) -> Column:
+    """Weighted rendezvous: the split with the least -ln(u) / weight, u a hash of group and split in (0, 1)."""
+    scores = []
+    for s, w in weights.items():
+        u = (F.shiftrightunsigned(F.xxhash64("group_id", F.lit(s), F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
+        scores.append(F.struct((-F.log(u) / F.lit(w) if w > 0 else F.lit(float("inf"))).alias("score"), F.lit(s).alias("split")))
+    return F.array_min(F.array(*scores))["split"]
+
+
 def splits(grouped: DataFrame, shares: dict[str, float] = SHARES, key: str = "article_id", seed: int = 42) -> DataFrame:
     """(key, group_id, split). Large groups, at most LARGE of them, go one by one to the split that is furthest below its share; all
-    others by weighted rendezvous hashing, the weights being what the splits still lack."""
+    others by weighted rendezvous hashing. The weights are what the splits still lack, corrected by what hashing then gives."""
     grouped = cut(grouped, "groups")
     sizes = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     total = grouped.count()
@@ -98,12 +109,14 @@ def splits(grouped: DataFrame, shares: dict[str, float] = SHARES, key: str = "ar
         placed.append((r["group_id"], to))
     spark = grouped.sparkSession
     fixed = spark.createDataFrame(placed, "group_id string, placed string")
-    weights = {s: max(0.0, x) for s, x in room.items()}
-    # weighted rendezvous: the split with the least -ln(u) / weight, u a hash of group and split in (0, 1)
-    scores = []
-    for s, w in weights.items():
-        u = (F.shiftrightunsigned(F.xxhash64("group_id", F.lit(s), F.lit(seed)), 11).cast("double") + 0.5) / float(2**53)
-        scores.append(F.struct((-F.log(u) / F.lit(w) if w > 0 else F.lit(float("inf"))).alias("score"), F.lit(s).alias("split")))
-    drawn = F.array_min(F.array(*scores))["split"]
-    assigned = sizes.join(F.broadcast(fixed), "group_id", "left").select("group_id", F.coalesce("placed", drawn).alias("split"))
+    rest = sizes.join(F.broadcast(fixed), "group_id", "left_anti")
+    targets = {s: max(0.0, x) for s, x in room.items()}
+    weights = dict(targets)
+    for _ in range(ROUNDS):
+        got = {s: 0 for s in targets} | {r["split"]: r["n"] for r in rest.groupBy(drawn(weights, seed).alias("split")).agg(F.sum("n").alias("n")).collect()}
+        if max(abs(got[s] - targets[s]) for s in targets) <= CLOSE * total:
+            break
+        # a slightly changed weight moves only the groups whose scores are nearly equal
+        weights = {s: weights[s] * (targets[s] / got[s] if got[s] else 2.0) if targets[s] else 0.0 for s in targets}
+    assigned = sizes.join(F.broadcast(fixed), "group_id", "left").select("group_id", F.coalesce("placed", drawn(weights, seed)).alias("split"))
     return grouped.join(assigned, "group_id").select(key, "group_id", "split")

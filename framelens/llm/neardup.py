@@ -67,20 +67,39 @@ def classes(sketched: DataFrame) -> DataFrame:
     return best.select("c1", "c2", F.col("w.key").alias("rep"), F.col("w.row").alias("rid"), *rest)
 
 
-def prefixes(reps: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
-    """(value, rid) for the values of each sketch that must hold one common to any partner, rarest first."""
-    values = reps.select("rid", "size", F.explode("sketch").alias("value"))
-    live = values.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1")
+#: Values held by more than one in so many sketches are hot. There are at most K * HOT of them, which are broadcast.
+HOT = 200
+
+
+def hot_values(sketched: DataFrame) -> DataFrame:
+    """(value, held): the hot values with about how often they are held, found by a mergeable frequency sketch without any
+    shuffle. At most K * HOT rows."""
+    tracked = 100_000  # the count of an item is off by a few hundred-thousandths of all at most
+    found = sketched.select(F.explode("sketch").alias("value")).agg(F.expr(f"approx_top_k(value, {K * HOT}, {tracked})").alias("top"))
+    n = sketched.count()
+    rows = [(x["item"], x["count"]) for x in found.first()["top"] if x["count"] * HOT > n]
+    return F.broadcast(sketched.sparkSession.createDataFrame(rows, "value bigint, held bigint"))
+
+
+def prefixes(reps: DataFrame, hot: DataFrame, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
+    """(value, rid) for the values of each sketch that must hold one common to any partner, rarest first.
+
+    The order must be the same for all sketches, no more: hot values come last, by their approximate counts, and need no
+    counting of their own, so that no task has to hold all who have a value that recurs everywhere.
+    """
+    values = reps.select("rid", "size", F.explode("sketch").alias("value")).join(hot, "value", "left")
+    cold = values.where("held is null").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1").select("rid", "size", "df", "value")
+    known = values.where("held is not null").select("rid", "size", (F.col("held") + F.lit(2**40)).alias("df"), "value")
     # one group is one sketch, at most K values
-    ranked = live.groupBy("rid", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    ranked = cold.unionByName(known).groupBy("rid", "size").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     need = F.greatest(F.lit(1), F.floor(F.col("size") * least_shared / k)).cast("int")
     return ranked.withColumn("n_prefix", F.size("v") - need + 1).where("n_prefix > 0").select("rid", F.explode(F.slice("v", F.lit(1), F.col("n_prefix"))).alias("x")).select("rid", F.col("x.value").alias("value"))
 
 
-def candidates(reps: DataFrame, threshold: float, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
+def candidates(reps: DataFrame, hot: DataFrame, threshold: float, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(a, b): pairs of class numbers, a < b, that may reach the threshold."""
     maps = ["m0", "m1", "m2", "m3"]
-    side = prefixes(reps, k, least_shared).join(reps.select("rid", "n", "size", *maps).withColumnRenamed("size", "in_sketch"), "rid")
+    side = prefixes(reps, hot, k, least_shared).join(reps.select("rid", "n", "size", *maps).withColumnRenamed("size", "in_sketch"), "rid")
     left = side.select("value", *(F.col(c).alias(f"a_{c}") for c in ("rid", "n", "in_sketch", *maps)))
     right = side.select("value", *(F.col(c).alias(f"b_{c}") for c in ("rid", "n", "in_sketch", *maps)))
     shared_bits = sum((F.bit_count(F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}"))) for m in maps), F.lit(0))
@@ -162,7 +181,7 @@ def links(articles: DataFrame, threshold: float = 0.8, key: str = "article_id")
     sketched = cut(sketches(articles, key).withColumn("row", F.monotonically_increasing_id()), "sketches")
     reps = classes(sketched)
     members = sketched.select("key", "c1", "c2").distinct().join(reps.select("c1", "c2", "rep"), ["c1", "c2"]).select("key", "rep")
-    near = cut(estimated(cut(candidates(reps, threshold), "candidates"), sketched, threshold), "near")
+    near = cut(estimated(cut(candidates(reps, hot_values(sketched), threshold), "candidates"), sketched, threshold), "near")
     return verified(near, articles, threshold, key), members
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelens.llm import crosssplit, encoding, grouped_split, mixing, neardup, packing, pieces, residue, sentences
+from framelens.operators import corpus
 from framelens.session import table
 
 
@@ -49,7 +50,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of the evaluation splits that overlap the training split, per split and source."""
-    return crosssplit.report(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "article_splits"), least=0.6)
+    articles = corpus.normalised_source(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "source_mapping"))
+    return crosssplit.report(articles.withColumn("source", F.lower("canonical_source")), table(spark, sf_dir, "article_splits"), least=0.6)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

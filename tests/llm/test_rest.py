@@ -181,7 +181,7 @@ def test_long_chain_and_proportions(spark):
     sizes = [900, 300, 50, 50] + [1] * 1700
     g = spark.createDataFrame([(f"{k}-{i}", f"g{k:05}") for k, n in enumerate(sizes) for i in range(n)], "article_id string, group_id string")
     n = Counter(r["split"] for r in GS.splits(g).collect())
-    assert all(abs(n[s] / sum(sizes) - w) < 0.03 for s, w in GS.SHARES.items())
+    assert all(abs(n[s] / sum(sizes) - w) < 0.002 for s, w in GS.SHARES.items())
     e = g.limit(0)
     assert GS.splits(e).count() == 0
 
