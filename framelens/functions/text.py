@@ -7,7 +7,7 @@ Unicode-aware. Where lowering a text changes its length, offsets are those in th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,12 +137,22 @@ def is_relevant(text: Column) -> Column:
 def demographics(text: Column) -> Column:
     """map<group, array of matches>: the mentions of each group in order, and the groups that follow from two together."""
     low = F.lower(text)
-    hits = {g: F.regexp_extract_all(low, F.lit(rf"(?U)\b({p})\b"), F.lit(1)) for g, p in L.GROUP_PATTERNS.items()}
-    has = {g: F.size(h) > 0 for g, h in hits.items()}
-    of_color = has["black"] | has["hispanic"] | has["asian"] | has["poc"]
-    derived = {"women_of_color": has["women"] & of_color, "white_men": has["men"] & has["white"], "white_women": has["women"] & has["white"], "men_of_color": has["men"] & of_color}
-    entries = [*((F.lit(g), h) for g, h in hits.items()), *((F.lit(g), F.when(c, F.array(F.lit(g.replace("_", " ")))).otherwise(F.array().cast("array<string>"))) for g, c in derived.items())]
-    return F.map_filter(F.create_map(*(x for e in entries for x in e)), lambda _, v: F.size(v) > 0)
+    found = F.array(*(F.regexp_extract_all(low, F.lit(rf"(?U)\b({p})\b"), F.lit(1)) for p in L.GROUP_PATTERNS.values()))
+
+    def groups(hits: Column) -> Column:
+        own = {g: F.get(hits, F.lit(i)) for i, g in enumerate(L.GROUP_PATTERNS)}
+        has = {g: F.size(h) > 0 for g, h in own.items()}
+        of_color = has["black"] | has["hispanic"] | has["asian"] | has["poc"]
+        derived = {"women_of_color": has["women"] & of_color, "white_men": has["men"] & has["white"], "white_women": has["women"] & has["white"], "men_of_color": has["men"] & of_color}
+        entries = [*((F.lit(g), h) for g, h in own.items()), *((F.lit(g), F.when(c, F.array(F.lit(g.replace("_", " ")))).otherwise(F.array().cast("array<string>"))) for g, c in derived.items())]
+        return F.map_filter(F.create_map(*(x for e in entries for x in e)), lambda _, v: F.size(v) > 0)
+
+    return F.when(text.isNotNull(), bound(found, groups))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def statistics(text: Column, size: int = 50) -> Column:
@@ -205,9 +215,14 @@ def context_windows(low: Column, term: str | Column, size: int) -> Column:
 def simple_demographics(text: Column) -> Column:
     """The short list of groups of the demonstration, with its two derived groups."""
     low = F.lower(text)
-    has = {g: low.rlike(rf"(?U)\b(?:{p})\b") for g, p in L.SIMPLE_GROUPS.items()}
-    has |= {"women_of_color": has["women"] & (has["black"] | has["poc"]), "white_men": has["men"] & has["white"]}
-    return F.array_compact(F.array(*(F.when(c, F.lit(g)) for g, c in has.items())))
+    found = F.array(*(low.rlike(rf"(?U)\b(?:{p})\b") for p in L.SIMPLE_GROUPS.values()))
+
+    def groups(flags: Column) -> Column:
+        has = {g: F.get(flags, F.lit(i)) for i, g in enumerate(L.SIMPLE_GROUPS)}
+        has |= {"women_of_color": has["women"] & (has["black"] | has["poc"]), "white_men": has["men"] & has["white"]}
+        return F.array_compact(F.array(*(F.when(c, F.lit(g)) for g, c in has.items())))
+
+    return F.when(text.isNotNull(), bound(found, groups))
 
 
 def mentioned_people(text: Column) -> Column:

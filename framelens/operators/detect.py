@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelens import lexicons as L
+from framelens.functions.text import bound
 
 SCORES = "map<string,double>"
 
@@ -79,8 +80,7 @@ class LexiconDetector:
             total = E.lexical_features(found, F.lit(1))
             return F.create_map(*(x for f in L.FRAMES for x in (F.lit(f), 1.0 - 1.0 / (1.0 + total[f"{f}_total_score"]))))
 
-        # through a lambda, so that the words are found once for all frames
-        return F.get(F.transform(F.array(E.found_terms(text)), score), F.lit(0))
+        return bound(E.found_terms(text), score)
 
 
 class EnsembleDetector:
