@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_framelens_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="framelens-")) / "framelens.zip"
+    folder = tempfile.mkdtemp(prefix="framelens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "framelens.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("framelens") / p.relative_to(root))
@@ -34,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="framelens-shared-")
+        own = tempfile.mkdtemp(prefix="framelens-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
