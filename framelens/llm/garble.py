@@ -216,7 +216,7 @@ def _capital_and_mark(text: str, run: str) -> bool:
     """A capital with an accent that ends a word in capitals, and the mark after it: ``ELLÅ’S``, ``ELVÃ©``."""
     if len(run) != 2 or not run[0].isupper() or run[1] not in "’‘”“…—–®©²™":
         return False
-    return all(text[i - 2 : i].isupper() and i >= 2 for i in (m.start() for m in re.finditer(re.escape(run), text)))
+    return all((before := text[max(0, m.start() - 2) : m.start()]).isalpha() and before.isupper() and len(before) == 2 and not text[m.end() : m.end() + 1].islower() for m in re.finditer(re.escape(run), text))
 
 
 def suspects(text: str | None) -> list[tuple[str, str, str]]:
