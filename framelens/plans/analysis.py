@@ -15,7 +15,7 @@ from framelens.operators import analyze as A
 from framelens.operators import corpus as C
 from framelens.operators import detect as D
 from framelens.operators import evaluate as V
-from framelens.session import spread, table
+from framelens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,7 +27,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The latest row of each article, of the columns needed only."""
-    return C.latest(spread(table(spark, sf_dir, "sample_articles").select("article_id", "ingested_at", *columns)))
+    return C.latest(table(spark, sf_dir, "sample_articles").select("article_id", "ingested_at", *columns))
 
 
 def md5(c: Column | str) -> Column:
