@@ -34,21 +34,21 @@ STAR_FROM = 64
 
 
 def sketches(articles: DataFrame, key: str = "article_id", k: int = K) -> DataFrame:
-    """One row a row of at least LEAST_CONTENT characters: key, text hash, number of snippets, sketch, map of the sketch."""
+    """One row a row of at least LEAST_CONTENT characters: key, text hash, number of different snippets, sketch, map of the sketch."""
 
     def run(batches):
         for b in batches:
             out = {c: [] for c in ("key", "c1", "c2", "n", "size", "sketch", "m0", "m1", "m2", "m3")}
             for key_, title, content in zip(b["key"], b["title"], b["content"]):
                 text = P.normalised(title, content)
-                low = P.bottom_k(hashes := P.snippet_hashes(text), k)
+                low = (different := P.snippet_set(text))[:k]
                 if not len(low):
                     continue
                 bits = np.zeros(256, dtype=bool)
                 bits[low & np.uint64(255)] = True
                 maps = np.packbits(bits).view(np.int64)
                 digest = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass"))
-                row = (key_, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, len(hashes), len(low), low.view(np.int64), *map(int, maps))
+                row = (key_, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, len(different), len(low), low.view(np.int64), *map(int, maps))
                 for c, v in zip(out, row):
                     out[c].append(v)
             yield out
