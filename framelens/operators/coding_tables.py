@@ -1,4 +1,4 @@
-"""Flat tables of articles, coded cells and exemplars out of nested human coding, by shredding (``shred``).
+"""Flat tables of articles, coded cells, exemplars, their tags and review marks out of nested human coding, by shredding (``shred``).
 
 Two sources: the map column ``human_coding`` of articles, and JSON payloads that hold articles with nested coding in several
 shapes. Shapes are brought to one before shredding: coding as an object, as a list of frames with groups, or as a string that
@@ -6,7 +6,8 @@ holds either; a cell as a count, as a count in a string, as a list of exemplars,
 
 Defined results: a payload that isn't whole JSON, null or without articles has no row; names are taken as written; keys other
 than the four frames are not coding; NaN counts are null; rows and deliveries that repeat count once; an article that isn't an
-object has an article row without an id.
+object has an article row without an id; a cell that a list names again adds its exemplars and its count to the first, unless it
+is equal to one before it.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ RECORD = S.Struct({"articles": S.List(S.Struct({"article_id": S.Leaf(_text), "so
 ARTICLES = ("articles", "[]")
 CELLS = (*ARTICLES, "coding", "{}", "{}")
 EXEMPLARS = (*CELLS, "exemplars", "[]")
+TAGS = (*EXEMPLARS, "tags", "[]")
+MARKS = (*EXEMPLARS, "review", "marks", "[]")
 
 
 def one_shape_of_cell(cell: Any) -> dict[str, Any] | None:
@@ -88,14 +91,27 @@ def one_shape_of_coding(coding: Any) -> dict[str, dict[str, Any]]:
                 pairs += [(entry.get("frame"), g, c) for g, c in groups.items()]
             elif isinstance(groups, list):
                 pairs += [(entry.get("frame"), g.get("group"), {k: v for k, v in g.items() if k != "group"}) for g in groups if isinstance(g, dict)]
-    out: dict[str, dict[str, Any]] = {}
+    named: dict[tuple[str, str], list[dict[str, Any]]] = {}
     for frame, group, cell in pairs:
         shaped = one_shape_of_cell(cell)
         if frame in FRAMES and group is not None and shaped is not None:
-            out.setdefault(frame, {}).setdefault(group, shaped)
+            named.setdefault((frame, group), []).append(shaped)
+    out: dict[str, dict[str, Any]] = {}
+    for (frame, group), shapes in named.items():
+        out.setdefault(frame, {})[group] = merged(shapes)
     return out
 
 
+def merged(shapes: list[dict[str, Any]]) -> dict[str, Any]:
+    """One cell out of those that a coding names for a frame and group: exemplars in order, counts added up."""
+    shapes = [x for i, x in enumerate(shapes) if x not in shapes[:i]]
+    if len(shapes) == 1:
+        return shapes[0]
+    counts = [n for x in shapes if (n := _number(x["count"])) is not None]
+    listed = [x["exemplars"] for x in shapes if x["exemplars"] is not None]
+    return {"count": sum(counts) if counts else None, "exemplars": [e for es in listed for e in es] if listed else None}
+
+
 def record_of_payload(payload: str | None) -> dict[str, Any] | None:
     """{'articles': [...]} of a delivery, or None if it isn't whole JSON."""
     try:
@@ -112,23 +128,28 @@ def record_of_payload(payload: str | None) -> dict[str, Any] | None:
     return {"articles": [{"article_id": a.get("article_id"), "source": a.get("source"), "coding": one_shape_of_coding(a.get("human_coding"))} if isinstance(a, dict) else {} for a in articles]}
 
 
-ROW = "part string, record_id string, article_no bigint, article_id string, source string, frame_type string, demographic_group string, exemplar_no bigint, count double, n_exemplars bigint, sentence bigint, coder string, quote string, reviewer string"
+ROW = "part string, record_id string, article_no bigint, article_id string, source string, frame_type string, demographic_group string, exemplar_no bigint, count double, n_exemplars bigint, sentence bigint, coder string, quote string, reviewer string, tag_no bigint, tag string, mark_no bigint, agree boolean"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 
 def rows_of(record_id: str, record: dict[str, Any]) -> Iterator[tuple]:
-    """The rows of the three tables of a record, from its level sequences."""
+    """The rows of the five tables of a record, from its level sequences."""
     columns = S.shred(RECORD, record)
     articles = {r["ordinals"]: r for r in S.table(RECORD, columns, ARTICLES)}
     for (no,), a in articles.items():
-        yield ("article", record_id, no, a.get("article_id"), a.get("source"), None, None, None, None, None, None, None, None, None)
+        yield ("article", record_id, no, a.get("article_id"), a.get("source"), *[None] * 13)
     counts = S.child_counts(RECORD, columns, CELLS, EXEMPLARS)
     for r in S.table(RECORD, columns, CELLS):
         a = articles[r["ordinals"][:1]]
-        yield ("cell", record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], None, r.get("count"), counts.get(r["ordinals"], 0), None, None, None, None)
+        yield ("cell", record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], None, r.get("count"), counts.get(r["ordinals"], 0), *[None] * 8)
     for r in S.table(RECORD, columns, EXEMPLARS) if counts else ():
         a = articles[r["ordinals"][:1]]
-        yield ("exemplar", record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], r["ordinals"][3], None, None, r.get("sentence"), r.get("coder"), r.get("quote"), r.get("review.by"))
+        yield ("exemplar", record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], r["ordinals"][3], None, None, r.get("sentence"), r.get("coder"), r.get("quote"), r.get("review.by"), *[None] * 4)
+    for part, path in (("tag", TAGS), ("mark", MARKS)) if counts else ():
+        for r in S.table(RECORD, columns, path):
+            a = articles[r["ordinals"][:1]]
+            own = (r["ordinals"][4], r.get(""), None, None) if part == "tag" else (None, None, r["ordinals"][4], r.get("agree"))
+            yield (part, record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], r["ordinals"][3], *[None] * 6, *own)
 
 
 def _shredded(df: DataFrame, record: Callable[[Any], dict[str, Any] | None]) -> DataFrame:
@@ -149,7 +170,7 @@ def _shredded(df: DataFrame, record: Callable[[Any], dict[str, Any] | None]) ->
 
 
 def shredded_articles(articles: DataFrame) -> DataFrame:
-    """Rows of all three tables from the map column; record_id is the article_id."""
+    """Rows of all tables from the map column; record_id is the article_id."""
 
     def record(source: str | None, coding: list | None) -> dict[str, Any]:
         nested = {f: dict(g) for f, g in coding or [] if g is not None}
@@ -160,7 +181,7 @@ def shredded_articles(articles: DataFrame) -> DataFrame:
 
 
 def shredded_deliveries(deliveries: DataFrame) -> DataFrame:
-    """Rows of all three tables from the payloads; record_id is the delivery_id."""
+    """Rows of all tables from the payloads; record_id is the delivery_id."""
     return _shredded(deliveries.select("delivery_id", "payload"), record_of_payload)
 
 
@@ -180,6 +201,14 @@ def exemplar_table(rows: DataFrame) -> DataFrame:
     return rows.where("part = 'exemplar'").select("record_id", "article_no", "frame_type", "demographic_group", "exemplar_no", "sentence", "coder", "quote", "reviewer").distinct()
 
 
+def tag_table(rows: DataFrame) -> DataFrame:
+    return rows.where("part = 'tag'").select("record_id", "article_no", "frame_type", "demographic_group", "exemplar_no", "tag_no", "tag").distinct()
+
+
+def mark_table(rows: DataFrame) -> DataFrame:
+    return rows.where("part = 'mark'").select("record_id", "article_no", "frame_type", "demographic_group", "exemplar_no", "mark_no", "agree").distinct()
+
+
 def coded_units(rows: DataFrame) -> DataFrame:
     """One row an exemplar, and one with exemplar_no -1 for a cell that has a count but no exemplar."""
     counted = (F.col("part") == "cell") & (F.col("n_exemplars") == 0) & F.col("count").isNotNull()

@@ -29,7 +29,15 @@ def p1_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exemplar_table(_rows(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_articles": p1_articles, "p1_cells": p1_cells, "p1_exemplars": p1_exemplars}
+def p1_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.tag_table(_rows(spark, sf_dir))
+
+
+def p1_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.mark_table(_rows(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_articles": p1_articles, "p1_cells": p1_cells, "p1_exemplars": p1_exemplars, "p1_tags": p1_tags, "p1_marks": p1_marks}
 
 
 def _sql() -> str:

@@ -68,6 +68,18 @@ def test_every_shape_of_a_delivery(spark):
     assert a.where("record_id = 'list'").count() == 3
 
 
+def test_tags_marks_and_repeated_cells(spark):
+    ex = [{"sentence": 1, "tags": ["a", None, "b"]}, {"sentence": 2, "tags": [], "review": {"by": "c", "marks": [{"agree": True}, {"agree": None}]}}]
+    named = [{"group": "men", "exemplars": ex, "count": 2}, {"group": "men", "exemplars": [{"sentence": 3, "tags": ["c"]}], "count": 1}, {"group": "men", "exemplars": ex, "count": 2}]
+    payload = json.dumps({"sample_articles": [None, {"human_coding": [{"frame": "obstacles", "groups": named}]}]})
+    rows = C.shredded_deliveries(spark.createDataFrame([("d", payload)], "delivery_id string, payload string")).cache()
+    at = ("d", 1, "obstacles", "men")
+    assert sorted(map(tuple, C.tag_table(rows).collect()), key=str) == sorted([(*at, 0, 0, "a"), (*at, 0, 1, None), (*at, 0, 2, "b"), (*at, 2, 0, "c")], key=str)
+    assert sorted(map(tuple, C.mark_table(rows).collect()), key=str) == sorted([(*at, 1, 0, True), (*at, 1, 1, None)], key=str)
+    assert [tuple(r) for r in C.cell_table(rows).collect()] == [(*at, 3.0, 3)]
+    assert sorted(r["sentence"] for r in C.exemplar_table(rows).collect()) == [1, 2, 3]
+
+
 def test_articles_and_empty_tables(spark):
     schema = "article_id string, source string, human_coding map<string,map<string,double>>, extra int"
     a = spark.createDataFrame([("a", "s", {"obstacles": {"men": 1.0, "women": None}, "other": {"men": 1.0}, "successes": None}, 1), ("a", "s", {"obstacles": {"men": 1.0}}, 1), ("b", None, None, 2), (None, "s", {"obstacles": {"men": 1.0}}, 3), ("c", "s", {"obstacles": {"men": float("nan")}}, 3)], schema)
