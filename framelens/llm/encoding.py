@@ -21,13 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm import garble as G
+from framelens.llm.neardup import small
 from framelens.llm.rows import map_rows
 from framelens.session import cut, spread
 
 #: ASCII characters that a line must have besides blanks for its skeleton to tell it from others.
 LEAST_SKELETON = 24
-#: Garbled runs of the learned map that codecs don't explain: so many, the best supported, are kept.
-LEARNED_RUNS = 10_000
 
 RUN_TYPE = "struct<at:int,run:string,kind:string,back:string>"
 SCAN = f"key string, field string, kinds array<string>, strong boolean, lines array<struct<no:int,h:bigint,runs:array<{RUN_TYPE}>>>"
@@ -125,32 +124,43 @@ def restored(articles: DataFrame, key: str = "article_id", fields: tuple[str, ..
     clean = scanned.where("kinds is null").select(F.explode("lines").alias("l")).groupBy(F.col("l.h").alias("h")).agg(F.min(F.transform("l.runs", lambda r: r["run"])).alias("runs"))
     twins = cases.join(clean, "h", "left").groupBy("key", "field").agg(F.collect_set(F.when(F.col("runs").isNotNull(), F.struct("no", "runs"))).alias("twins"))  # lines of one text
     best = pairs.where("not explained and kind = ''").groupBy("run").agg(F.max_by("clean", "n").alias("clean"), F.max("n").alias("top"), F.sum("n").alias("n"))
-    rows = best.where("top >= 2 and top >= 0.8 * n").orderBy(F.desc("top"), "run").limit(LEARNED_RUNS).collect()
-    learned = {r["run"]: r["clean"] for r in rows}
+    learned = cut(best.where("top >= 2 and top >= 0.8 * n").select("run", "clean"), "learned")
     texts = articles.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("x"))
     texts = texts.select("key", "x.field", "x.text").join(twins.select("key", "field").distinct(), ["key", "field"], "left_semi").groupBy("key", "field").agg(F.max_by("text", F.length("text")).alias("text"))
 
+    def undo(batches):
+        for b in batches:
+            out = {c: [] for c in ("key", "field", "restored", "open")}
+            for k, f, text, twins_ in zip(b["key"], b["field"], b["text"], b["twins"]):
+                back = repair(text, {t["no"]: t["runs"] for t in twins_ or []})
+                for c, v in zip(out, (k, f, back, sorted(set(G.RUN.findall(back))) if G.suspects(back) else None)):
+                    out[c].append(v)
+            yield out
+
+    undone = cut(map_rows(texts.join(twins, ["key", "field"]), undo, "key string, field string, restored string, open array<string>"), "undone")
+    left = undone.select("key", "field", F.explode("open").alias("run")).join(small(learned), "run")
+    # one group is one text's own runs
+    maps = left.groupBy("key", "field").agg(F.map_from_entries(F.collect_list(F.struct("run", "clean"))).alias("map"))
+
     def run(batches):
         for b in batches:
             out = {c: [] for c in ("key", "field", "restored", "complete")}
-            for k, f, text, twins_ in zip(b["key"], b["field"], b["text"], b["twins"]):
-                back = repair(text, {t["no"]: t["runs"] for t in twins_ or []}, learned)
-                for c, v in zip(out, (k, f, back, not G.suspects(back))):
+            for k, f, back, open_, pairs_ in zip(b["key"], b["field"], b["restored"], b["open"], b["map"]):
+                if pairs_:
+                    back = G.RUN.sub(lambda m, known=dict(pairs_): known.get(m.group(), m.group()), back)
+                for c, v in zip(out, (k, f, back, open_ is None or bool(pairs_) and not G.suspects(back))):
                     out[c].append(v)
             yield out
 
-    done = map_rows(texts.join(twins, ["key", "field"]), run, "key string, field string, restored string, complete boolean")
+    done = map_rows(undone.join(maps, ["key", "field"], "left"), run, "key string, field string, restored string, complete boolean")
     return done.withColumnRenamed("key", key)
 
 
-def repair(text: str, twins: dict[int, list[str]], learned: dict[str, str]) -> str:
-    """Lines with a twin take its runs; the rest is undone by codec, then by the learned map."""
+def repair(text: str, twins: dict[int, list[str]]) -> str:
+    """Lines with a twin take its runs; the rest is undone by codec."""
     plain = G.html.unescape(text) if "&" in text and G.ENTITY.search(text) else text
     lines = plain.split("\n")
     for no, runs in twins.items():
         if no < len(lines) and len(parts := G.RUN.split(lines[no])) == len(runs) + 1:
             lines[no] = "".join(x for pair in zip(parts, [*runs, ""]) for x in pair)
-    back = G.restore("\n".join(lines)) or ""
-    if learned and G.suspects(back):
-        back = G.RUN.sub(lambda m: learned.get(m.group(), m.group()), back)
-    return back
+    return G.restore("\n".join(lines)) or ""

@@ -97,6 +97,17 @@ def test_twins_teach_and_restore(spark):
     assert pairs["Ã¼", "ü"] is True and pairs["�", "ü"] is False
 
 
+def test_every_learned_run_restores(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEARNED_RUNS", 1, raising=False)  # a place below which no run may fall
+    one, two = "The committee fined the old daughter of a worker in Z{}rich", "Nobody of the board was asked about the plan of C{}line"
+    rows = [("a", one.format("ü")), ("b", two.format("éà"))] + [(f"c{i}", one.format("�")) for i in range(2)] + [(f"d{i}", two.format("��")) for i in range(2)]
+    rows += [("x", "A line that no other article has, about M{}nster".format("�")), ("y", "Another line that stands here only, about H{}las".format("��"))]
+    df = spark.createDataFrame(rows, "article_id string, content string")
+    back = {r["article_id"]: (r["restored"], r["complete"]) for r in N.restored(df, fields=("content",)).collect()}
+    assert back["x"] == ("A line that no other article has, about Münster", True)
+    assert back["y"] == ("Another line that stands here only, about Héàlas", True)
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert N.found(df).count() == 0 and N.restored(df).count() == 0
