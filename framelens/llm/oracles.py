@@ -6,6 +6,7 @@ _ONE = "o AS (SELECT article_id, any_value(title) AS title, any_value(content) A
 _LONG = "x AS (SELECT article_id, regexp_replace(lower(coalesce(title, '') || ' ' || content), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM o WHERE length(content) >= 300)"
 _SNIPPETS = "g AS (SELECT DISTINCT article_id, substring(t, i, 16) AS g FROM (SELECT article_id, t, unnest(range(1, length(t) - 14)) AS i FROM x)), n AS (SELECT article_id, count(*) AS n FROM g GROUP BY 1)"
 _SIDES = "s AS (SELECT DISTINCT article_id, CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'val' THEN 'eval' WHEN 'validation' THEN 'eval' WHEN 'test' THEN 'eval' END AS side FROM article_splits)"
+_PARTS = "s AS (SELECT DISTINCT article_id, split, CASE split WHEN 'train' THEN 'train' ELSE 'eval' END AS part FROM (SELECT article_id, CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'val' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test' END AS split FROM article_splits) WHERE split IS NOT NULL)"
 #: Whitespace and marks at which a text may be cut.
 _PAUSE = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？।؟።…]"
 
@@ -28,6 +29,8 @@ ORACLES = {
     "SELECT DISTINCT o.article_id, coalesce(g.group_id, o.article_id) AS group_id FROM sample_articles o LEFT JOIN l ON l.article_id = o.article_id LEFT JOIN g ON g.label = l.label WHERE o.article_id IS NOT NULL",
     "p5_found": f"WITH {_ONE}, {_LONG}, {_SNIPPETS}, {_SIDES}, e AS (SELECT g.article_id AS e, g.g FROM g JOIN s ON s.article_id = g.article_id AND side = 'eval'), t AS (SELECT g.article_id AS t, g.g FROM g JOIN s ON s.article_id = g.article_id AND side = 'train'), "
     "c AS (SELECT e, t, count(*) AS c FROM e JOIN t USING (g) WHERE e <> t GROUP BY 1, 2) SELECT DISTINCT least(e, t) AS article_id_a, greatest(e, t) AS article_id_b FROM c JOIN n ON n.article_id = e WHERE c >= 0.6 * n.n",
+    "p5_members": f"WITH {_ONE}, {_LONG}, {_PARTS}, c AS (SELECT part, t, min(article_id) AS class_id, count(DISTINCT article_id) AS n_articles FROM x JOIN s USING (article_id) WHERE length(t) >= 16 GROUP BY 1, 2) "
+    "SELECT DISTINCT x.article_id, s.split, s.part, c.class_id, c.n_articles FROM x JOIN s USING (article_id) JOIN c ON c.part = s.part AND c.t = x.t",
     "p6_found": f"WITH {_ONE} SELECT article_id, CASE WHEN list_max(list_transform(string_split_regex(content, '{_PAUSE}'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut FROM o WHERE length(content) > 3000",
     "p7_found": f"WITH {_ONE}, {_LONG}, {_SNIPPETS}, c AS (SELECT a.article_id AS a, b.article_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.article_id < b.article_id GROUP BY 1, 2) "
     "SELECT a AS article_id_a, b AS article_id_b FROM c JOIN n x ON x.article_id = a JOIN n y ON y.article_id = b WHERE c >= 0.6 * (x.n + y.n - c)",

@@ -48,6 +48,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.least("eval_id", "train_id").alias("article_id_a"), F.greatest("eval_id", "train_id").alias("article_id_b")).distinct()
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts that each article of a split is in, on which side of the comparison, and how large it is."""
+    members = crosssplit.links(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "article_splits"), least=0.6)[1]
+    sizes = members.groupBy("part", "rep").agg(F.countDistinct("key").alias("n_articles"))
+    return members.join(sizes, ["part", "rep"]).select(F.col("key").alias("article_id"), "split", "part", F.col("rep").alias("class_id"), "n_articles")
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of the evaluation splits that overlap the training split, per split and source."""
     articles = corpus.normalised_source(table(spark, sf_dir, "sample_articles"), table(spark, sf_dir, "source_mapping"))
