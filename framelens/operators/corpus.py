@@ -7,19 +7,41 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from framelens import lexicons as L
 from framelens.functions import text as X
-from framelens.session import cut
+from framelens.session import cut, small
 
 
 def latest(articles: DataFrame, key: str = "article_id", order: str = "ingested_at") -> DataFrame:
-    """One row an article, the latest; of rows as late, the one whose other columns are largest where they can be compared."""
-    rest = [c for c in articles.columns if c != key]
-    best = articles.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return best.select(*(F.col(key) if c == key else F.col(f"_row.`{c}`").alias(c) for c in articles.columns))
+    """One row an article, the latest; a null order comes before all others. Rows without a key are left out.
+
+    Of a table read from files no text is moved: keys are counted by themselves, only repeated ones are settled, by order and
+    then by the place of the row in the files, and the rows that lose are left out by that place. Other tables are
+    reduced by key; of rows as late, the one with the largest hash is taken.
+    """
+    rows = articles.where(F.col(key).isNotNull())
+    try:
+        placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return _reduced(rows, key, order)
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    of_repeated = placed.select(key, order, "_file", "_row").join(small(cut(repeated, "repeated")), key, "left_semi")
+    rank = F.struct(F.col(order).isNotNull(), order, "_file", "_row")
+    best = of_repeated.groupBy(key).agg(F.max(rank).alias("_best"))
+    losers = of_repeated.join(best, key).where(rank != F.col("_best")).select("_file", "_row")
+    return placed.join(small(cut(losers, "losers")), ["_file", "_row"], "left_anti").select(*articles.columns)
+
+
+def _reduced(rows: DataFrame, key: str, order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    by_hash = F.xxhash64(*(F.to_json(c) if isinstance(rows.schema[c].dataType, MapType | ArrayType | StructType) else F.col(c) for c in rest))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order, by_hash)).alias("_best"))
+    return best.select(*(F.col(key) if c == key else F.col(f"_best.`{c}`").alias(c) for c in rows.columns))
 
 
 def load_articles(articles: DataFrame, source: str | None = None) -> DataFrame:

@@ -123,3 +123,41 @@ def test_batches_and_folds(spark):
     df = spark.createDataFrame([("s", i) for i in range(7)], "g string, i int")
     assert sorted(r["batch"] for r in C.batches(df, 3, "i", "g").collect()) == [0, 0, 0, 1, 1, 1, 2]
     assert {r["fold"] for r in C.folds(spark.range(200).withColumnRenamed("id", "article_id")).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_latest_rows(spark, tmp_path):
+    """Null and tied orders, equal rows, null keys; the same from files and from other tables where the order decides."""
+    rows = [("a", 1, "old"), ("a", 2, "new"), ("b", None, "only"), ("c", None, "null"), ("c", 1, "x"), ("d", 3, "t"), ("d", 3, "t"), ("e", 4, "one"), ("e", 4, "two"), ("f", 5, None), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "article_id string, ingested_at int, content string")
+    df.repartition(3).write.parquet(str(tmp_path / "t"))
+    for t in (df, spark.read.parquet(str(tmp_path / "t"))):
+        got = {r["article_id"]: r["content"] for r in C.latest(t).collect()}
+        assert len(C.latest(t).collect()) == 6 and got.pop("e") in ("one", "two")
+        assert got == {"a": "new", "b": "only", "c": "x", "d": "t", "f": None}
+    assert C.latest(spark.read.parquet(str(tmp_path / "t")).limit(0)).count() == 0
+
+
+def test_latest_moves_no_text(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "x y", "s"), ("a", 2, "y z", "s")], "article_id string, ingested_at int, content string, source string").write.parquet(str(tmp_path / "sample_articles.parquet"))
+    from framelens.plans.analysis import QUERIES
+
+    df = QUERIES["clean_text_stats"](spark, str(tmp_path))
+    assert df.count() == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if ("Exchange" in line or "Sort" in line) and "content" in line]
+    assert not moved and "BroadcastHashJoin" in plan
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from framelens import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master, fails in (("spark://h:7077", True), ("local-cluster[3,2,1024]", True), ("yarn", True), ("local[2]", False)):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
+        if fails:
+            with pytest.raises(ValueError):
+                session.shared_dir(fake)
+        else:
+            assert session.shared_dir(fake).startswith("file:///")
