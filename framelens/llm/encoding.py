@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm import garble as G
-from framelens.llm.neardup import small
 from framelens.llm.rows import map_rows
-from framelens.session import cut, spread
+from framelens.session import cut, small, spread
 
 #: ASCII characters that a line must have besides blanks for its skeleton to tell it from others.
 LEAST_SKELETON = 24

@@ -5,6 +5,15 @@ from __future__ import annotations
 _ONE = "o AS (SELECT article_id, any_value(title) AS title, any_value(content) AS content FROM sample_articles WHERE article_id IS NOT NULL GROUP BY article_id)"
 _LONG = "x AS (SELECT article_id, regexp_replace(lower(coalesce(title, '') || ' ' || content), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM o WHERE length(content) >= 300)"
 _SNIPPETS = "g AS (SELECT DISTINCT article_id, substring(t, i, 16) AS g FROM (SELECT article_id, t, unnest(range(1, length(t) - 14)) AS i FROM x)), n AS (SELECT article_id, count(*) AS n FROM g GROUP BY 1)"
+_NEAR = (
+    "near AS MATERIALIZED (SELECT a, b FROM (SELECT a.article_id AS a, b.article_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.article_id < b.article_id GROUP BY 1, 2) "
+    "JOIN n x ON x.article_id = a JOIN n y ON y.article_id = b WHERE c >= 0.6 * (x.n + y.n - c))"
+)
+_GROUPS = (
+    "e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), r(a, b) AS (SELECT article_id, article_id FROM n UNION SELECT e.b, r.b FROM r JOIN e ON e.a = r.a), l AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1), "
+    "k AS (SELECT t, min(article_id) AS class_id, count(*) AS n_copies FROM x GROUP BY 1), "
+    "groups AS (SELECT x.article_id, k.class_id, k.n_copies, (SELECT min(r.b) FROM r WHERE r.a = x.article_id) AS group_id, coalesce(l.n_links, 0) AS n_links FROM x JOIN n USING (article_id) JOIN k USING (t) LEFT JOIN l ON l.a = x.article_id)"
+)
 _SIDES = "s AS (SELECT DISTINCT article_id, CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'val' THEN 'eval' WHEN 'validation' THEN 'eval' WHEN 'test' THEN 'eval' END AS side FROM article_splits)"
 _PARTS = "s AS (SELECT DISTINCT article_id, split, CASE split WHEN 'train' THEN 'train' ELSE 'eval' END AS part FROM (SELECT article_id, CASE lower(trim(split)) WHEN 'train' THEN 'train' WHEN 'val' THEN 'val' WHEN 'validation' THEN 'val' WHEN 'test' THEN 'test' END AS split FROM article_splits) WHERE split IS NOT NULL)"
 #: Whitespace and marks at which a text may be cut.
@@ -32,6 +41,7 @@ ORACLES = {
     "p5_members": f"WITH {_ONE}, {_LONG}, {_PARTS}, c AS (SELECT part, t, min(article_id) AS class_id, count(DISTINCT article_id) AS n_articles FROM x JOIN s USING (article_id) WHERE length(t) >= 16 GROUP BY 1, 2) "
     "SELECT DISTINCT x.article_id, s.split, s.part, c.class_id, c.n_articles FROM x JOIN s USING (article_id) JOIN c ON c.part = s.part AND c.t = x.t",
     "p6_found": f"WITH {_ONE} SELECT article_id, CASE WHEN list_max(list_transform(string_split_regex(content, '{_PAUSE}'), lambda x: length(x))) > 3000 THEN 'forced' ELSE 'natural' END AS cut FROM o WHERE length(content) > 3000",
-    "p7_found": f"WITH {_ONE}, {_LONG}, {_SNIPPETS}, c AS (SELECT a.article_id AS a, b.article_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.article_id < b.article_id GROUP BY 1, 2) "
-    "SELECT a AS article_id_a, b AS article_id_b FROM c JOIN n x ON x.article_id = a JOIN n y ON y.article_id = b WHERE c >= 0.6 * (x.n + y.n - c)",
+    "p7_found": f"WITH {_ONE}, {_LONG}, {_SNIPPETS}, {_NEAR} SELECT a AS article_id_a, b AS article_id_b FROM near",
+    "p7_groups": f"WITH RECURSIVE {_ONE}, {_LONG}, {_SNIPPETS}, {_NEAR}, {_GROUPS} SELECT * FROM groups",
+    "p7_kept": f"WITH RECURSIVE {_ONE}, {_LONG}, {_SNIPPETS}, {_NEAR}, {_GROUPS} SELECT article_id FROM o WHERE article_id NOT IN (SELECT article_id FROM groups WHERE article_id <> group_id)",
 }

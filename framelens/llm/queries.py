@@ -73,9 +73,22 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near copies; copies of one text pair by pair, in a class of 64 and more as links to the smallest (p7_groups
+    has the size of each class)."""
     return neardup.pairs(table(spark, sf_dir, "sample_articles"), threshold=0.6)
 
 
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal texts and the group of near copies of each article, with its number of copies and links."""
+    return neardup.groups(table(spark, sf_dir, "sample_articles"), threshold=0.6)
+
+
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles without near copies: of each group the smallest key stays, and all articles too short to compare."""
+    others = p7_groups(spark, sf_dir).where("article_id <> group_id").select("article_id")
+    return table(spark, sf_dir, "sample_articles").select("article_id").where("article_id is not null").distinct().join(others, "article_id", "left_anti")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers of at most 2,048 tokens: which text, or which part of an oversized one, is in which."""
     return packing.containers(table(spark, sf_dir, "documents"))
