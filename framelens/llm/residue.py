@@ -1,34 +1,42 @@
 """Template residue, filler, error pages and demands for scripts in place of an article.
 
-1. Each text is cut into lines. Lines of message length get a normalised form, in which numbers, addresses, dates and
-   identifiers are masked, and its hash. Unfilled template fields are looked for in the whole text.
-2. Lines with the same hash are counted over all texts and sources, combined before the shuffle. Each group is classified
-   once by phrase rules; a short line without an article's traits that recurs over several sources is page furniture.
-3. The classes go back to the texts: a text is a case if it has an unfilled field, or if it has a message or filler and no
-   line of an article besides; furniture and a headline may stand around it.
-
-Defined results: null, empty and blank texts are no case; a text is always read whole; a text that quotes a template field or
-reports a message in a sentence is no case.
+1. Each text is cut into lines, and these into sentences (menus are taken whole); numbers, addresses, dates and identifiers
+   are masked, and what is left is hashed. Unfilled template fields are looked for in the whole text. A sentence that is longer
+   than what may stand around a message and has no word of any rule can be nothing but an article's, whatever its group; it
+   needs no hash.
+2. Equal hashes are counted over all texts and sources, combined before the shuffle, and each group is classified once.
+   - A group that recurs over WIDE sources is judged as such: a short line of an article's traits is page furniture, and a
+     sentence with any word of a message (LOOSE) is one, for articles don't repeat each other's sentences over sources.
+   - What recurs nowhere goes the second route: it must match a whole phrase (PHRASES) that says itself that it is filler, a
+     demand for scripts or an English or numbered message, or be filler Latin or typed at random. Messages with an address or
+     a wording of their own are found by it. That something is gone or missing, in other languages, is a message by
+     recurrence only: a sentence of an article can say so.
+3. The classes go back to the texts. A line with a message is one if its other sentences are messages or short asides. A text is
+   a case if it has an unfilled field, or a message or filler and no line of an article; furniture and a headline may stand by.
+
+Defined results: null, empty and blank texts are no case; a text is always read whole, and lines of any length are judged alike;
+a text that quotes a template field or reports a message in a sentence is no case.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import ahocorasick
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.llm.rows import map_rows
-from framelens.session import cut, spread
+from framelens.session import cut, small, spread
 
-#: Longer lines are text of an article, unless they are filler.
-MESSAGE_LENGTH = 220
-#: A short line that recurs over so many sources is page furniture.
-FURNITURE_SOURCES = 3
-
-#: More lines without an end than this are the broken lines or list items of an article, not headlines.
-HEADLINES = 2
+#: A group that recurs over so many sources is judged as recurring.
+WIDE = 3
+#: Page furniture is that short; a sentence beside a message in its line, an aside, may be longer.
+FURNITURE_LENGTH, ASIDE = 60, 90
+#: A headline is that short at most, and more of them are the broken lines or list items of an article.
+HEADLINE_LENGTH, HEADLINES = 160, 2
 
 # --- fixed values: template fields ------------------------------------------------------------------------------------
 FIELD = re.compile(
@@ -63,13 +71,6 @@ PHRASES = {
         ^\s*at\ [\w.$]+\(.*\)$|^[\w.]+(exception|error)\b(:.*)?$|^file\ ".+",\ line\ \d+|^\w+\ =\ \w+\.\w+\(\)$
         ^\{\s*"\w+":
         ^type\ status\ report$
-        \bnicht\ (mehr\ )?(abrufbar|erreichbar|verfügbar|gefunden)\b|\bseite\b.*\bnicht\ gefunden\b
-        \bintrouvable\b|\bmomentanément\ indisponible\b|\bn.est\ plus\ (en\ ligne|disponible)\b
-        \bno\ hemos\ encontrado\b|\bno\ disponible\b|\bya\ no\ está\ disponible\b|\bpágina\ no\ encontrada\b
-        страница\ не\ найдена|временно\ недоступ|больше\ не\ доступ|материал\ удал
-        見つかりませんでした|表示できません|ご利用いただけません|メンテナンス中
-        页面不存在|不存在。?$|暂时不可用|无法访问|已被删除|无法显示
-        الصفحة\ غير\ موجودة|غير\ متاح|पृष्ठ\ नहीं\ मिला|उपलब्ध\ नहीं|ไม่พบหน้า|ገጹ\ አልተገኘም
     """,
     "script": r"""
         <noscript|</noscript>
@@ -123,12 +124,46 @@ _MASKS = (
     (re.compile(r"\d+(?:[.,:/-]\d+)*"), "#"),
     (re.compile(r"\s+"), " "),
 )
+#: Parts of words. No sentence without one of them is a message, a demand for scripts or filler by its phrase.
+TRAITS = tuple(
+    "error|fehler|erreur|ошибк|エラー|错误|status|found|exist|forbidden|gateway|unavailab|timeout|time-out|time out|too many|gone|bad request|unauthori|no longer|taken down|removed|deleted|moved|expired|available|shown|"
+    "displayed|loaded|failed|oops|sorry|unfortunately|apologies|denied|permission|maintenance|reachable|database|session|connection|exception|trace|traceback|file \"|at |{\"|{ \"| = |#0|#1|#2|#3|#4|#5|#6|#7|#8|#9|"
+    "abrufbar|erreichbar|verfügbar|gefunden|introuvable|indisponible|en ligne|disponible|encontrad|страница|недоступ|доступ|удал|見つかりません|表示できません|ご利用|メンテナンス|不存在|不可用|无法|删除|غير|पृष्ठ|उपलब्ध|ไม่พบ|አልተገኘም|"
+    "script|scripts|js|cookies|blocker|human|robot|press and hold|browser|loading|aktivieren|skript|скрипт|スクリプト|脚本|سكريبت|سكربت|स्क्रिप्ट|สคริปต์|ስክሪፕት|"
+    "lorem|sample|dummy|placeholder|filler|test|your text|your title|your headline|goes here|copy to|text to|insert|replace|subhead|texte|votre|rédiger|texto|titular|pendiente|escriba|platzhalter|blindtext|einsetzen|hier steht|"
+    "заглушка|здесь|текст|ダミー|本文|テキスト|占位|待补|此处|示例|نص|نمونہ|नमूना|ข้อความ|የናሙና".split("|")
+)
+#: Parts of words that make a sentence a message if it recurs over sources.
+LOOSE = {
+    "script": tuple("javascript|client-side script|active script|allow script|cookies|not a robot|are human|noscript|checking your browser|skripte|los scripts|scripts sont|скрипт|スクリプト|脚本|سكريبت|سكربت|स्क्रिप्ट|สคริปต์|ስክሪፕት".split("|")),
+    "filler": tuple("lorem ipsum|placeholder|dummy|goes here|to come|to follow|your text|your headline|blindtext|platzhalter|einsetzen|steht später|relleno|titular de prueba|pendiente de|escriba aquí|faux texte|texte de remplacement|votre titre|votre texte|à rédiger|заглушка|здесь будет|для заполнения|ダミー|本文が入ります|テキストが入ります|仮のテキスト|占位|待补|此处填写|示例文本".split("|")),
+    "error": tuple(
+        "error|not found|forbidden|bad gateway|unavailable|no longer available|not available|no longer exist|cannot be shown|could not be|failed to load|taken down|has expired|not reachable|maintenance|try again|"
+        "been told|search box|request id|reference #|nicht gefunden|nicht verfügbar|nicht erreichbar|nicht mehr|introuvable|indisponible|plus en ligne|plus disponible|hemos encontrado|no disponible|no está disponible|no encontrada|не найдена|недоступ|больше не доступ|удал|エラー|見つかりません|表示できません|ご利用いただけません|メンテナンス中|错误|不存在|不可用|无法|已被删除|غير موجودة|غير متاح|नहीं मिला|उपलब्ध नहीं|ไม่พบ|አልተገኘም".split("|")
+    ),
+}
+
+
+def _finder(words) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, w)
+    found.make_automaton()
+    return found
+
+
+@lru_cache(maxsize=1)
+def _traits() -> ahocorasick.Automaton:
+    return _finder(TRAITS)
+
 
+def has_trait(text: str) -> bool:
+    """Some part of a word of TRAITS is in the text, whatever the case."""
+    return next(_traits().iter(text.lower()), None) is not None
 
-#: What masks or gibberish must have somewhere; most lines have neither and are let through at once.
+
+#: What a text must have for a mask to find anything.
 _MASKABLE = re.compile(r"[\d@/]|www\.|\s\s|[\t\xa0]")
-_STEMS = ("lorem", "ipsum", "dolor", "amet", "consec", "adipis", "tempor", "labor", "aliqua", "fugiat", "mollit", "pariat", "culpa", "velit", "tetur")
-_MASH = re.compile(r"[b-df-hj-np-tv-xz]{5}|xxx")
 
 
 def masked(line: str) -> str:
@@ -138,17 +173,32 @@ def masked(line: str) -> str:
     return line.strip().lower()
 
 
+@lru_cache(maxsize=100_000)
+def _is_latin(word: str) -> bool:
+    return LATIN.match(word) is not None
+
+
 def is_gibberish(line: str) -> bool:
     """Filler Latin, or letters typed at random: four of five words, five words at least."""
-    low = line.lower()
-    if not any(stem in low for stem in _STEMS) and not _MASH.search(low):
-        return False
     words = _WORD.findall(line)
+    allowed = len(words) - 0.8 * len(words)  # words that may be others; most sentences have more after a few words
     if len(words) < 5:
         return False
-    if sum(LATIN.match(w) is not None for w in words) >= 0.8 * len(words):
+    others = 0
+    for w in words:
+        others += not _is_latin(w)
+        if others > allowed:
+            break
+    else:
         return True
-    return not any(w[0].isupper() for w in words[1:]) and sum(any(row.issuperset(w) for row in KEYBOARD) for w in words) >= 0.8 * len(words)
+    others = 0
+    for i, w in enumerate(words):
+        if i and w[0].isupper():
+            return False
+        others += not any(row.issuperset(w) for row in KEYBOARD)
+        if others > allowed:
+            return False
+    return True
 
 
 def is_menu(line: str) -> bool:
@@ -156,33 +206,57 @@ def is_menu(line: str) -> bool:
     return bool(parts) and all(p in MENU for p in parts)
 
 
-def classify(line: str, n_sources: int) -> str:
-    """Class of a group of equal lines: error, script, filler, furniture, headline, or article."""
-    if is_menu(line):
-        return "furniture"
-    quoted = any(c in line for c in "“”«»") and not line.startswith("{")
-    if RULES["furniture"].search(line):
+def is_headline(line: str) -> bool:
+    return len(line) <= HEADLINE_LENGTH and (not TERMINAL.search(line) or ABBREVIATED_END.search(line) is not None and not re.search(r"[.!?…]\s", line[:-1]))
+
+
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？।])\s*")
+
+
+def sentences(line: str) -> list[str]:
+    return [x for x in _SENTENCE_END.split(line) if x.strip()]
+
+
+def classify(sentence: str, n_sources: int) -> str:
+    """Class of a group of equal sentences (or short lines): error, script, filler, furniture, headline, or article.
+
+    Recurring groups need a word of a message, others a whole phrase.
+    """
+    if is_menu(sentence) or RULES["furniture"].search(sentence):
         return "furniture"
-    if not quoted:
+    quoted = any(c in sentence for c in "“”«»") and not sentence.startswith("{")
+    if not quoted and has_trait(sentence):
         for kind in ("filler", "script", "error"):
-            if RULES[kind].search(line):
+            if RULES[kind].search(sentence):
                 return kind
-    if is_gibberish(line) or is_filler(line):
+        if n_sources >= WIDE:
+            low = sentence.lower()
+            for kind, words in LOOSE.items():
+                if any(w in low for w in words):
+                    return kind
+    if not quoted and is_gibberish(sentence):
         return "filler"
-    if len(line) <= 160 and (not TERMINAL.search(line) or ABBREVIATED_END.search(line) and not re.search(r"[.!?…]\s", line[:-1])):
+    if is_headline(sentence):
         return "headline"
-    return "furniture" if n_sources >= FURNITURE_SOURCES and len(line) <= 60 and not quoted else "article"
+    return "furniture" if n_sources >= WIDE and len(sentence) <= FURNITURE_LENGTH and not quoted else "article"
 
 
-_SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s*")
+def pieces(line: str) -> list[str] | None:
+    """What a line is judged by: itself if it is a menu, else its sentences. None: it is an article's, whatever its groups.
 
-
-def is_filler(line: str) -> bool:
-    """Every sentence of the line is filler. Most lines are settled by their first one."""
-    if any(c in line for c in "“”«»"):
-        return False
-    parts = [p for p in _SENTENCE_END.split(line) if p.strip()]
-    return bool(parts) and all(RULES["filler"].search(p) or is_gibberish(p) for p in parts)
+    That is so if a sentence that is no aside has no trait and isn't gibberish, as no group could make a message of it,
+    and the line is no headline.
+    """
+    if is_menu(line):
+        return [line]
+    if len(line) <= FURNITURE_LENGTH:
+        return sentences(line) or [line]
+    if any(c in line for c in "“”«»") and not line.startswith("{") and not is_headline(line):
+        return None  # what quotes is no message as a whole
+    parts = sentences(line)
+    if not is_headline(line) and any(len(x) > ASIDE and not has_trait(x) and not is_gibberish(x) for x in parts):
+        return None
+    return parts if len(parts) > 1 else [line]
 
 
 def unfilled(text: str) -> bool:
@@ -197,50 +271,56 @@ def unfilled(text: str) -> bool:
 
 
 def _inside_quotes(text: str, at: int) -> bool:
-    """Inside a short quotation that opens a little before (the closing sign of a field may follow its opening)."""
-    near = text[max(0, at - 40) : at]
-    return near.rfind("“") > near.rfind("”") and "{{" in near[near.rfind("“") :][:4]
+    """Right after a quotation mark and the opening sign of a field (whose closing sign this is)."""
+    opened = text.rfind("“", 0, at)
+    return opened > text.rfind("”", 0, at) and "{{" in text[opened : opened + 4] and "\n" not in text[opened:at]
+
+
+LINES = "key {kind}, source string, field boolean, n_article int, units array<struct<line:int,h:bigint,text:string,size:int,headline:boolean>>"
 
 
 def lines_of(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row a text that isn't blank: key, source, field (a field is unfilled), n_long, lines of message length."""
+    """One row a text that isn't blank: key, source, field (a field is unfilled), n_article (lines that can't be but an article's),
+    units (line number, hash, sentence, its length, whether its line is a headline but for its words)."""
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("key", "source", "field", "n_long", "lines")}
+            out = {c: [] for c in ("key", "source", "field", "n_article", "units")}
             for k, t, s in zip(b["key"], b["text"], b["source"]):
                 if not t or t.isspace():
                     continue
-                n_long, lines, filler = 0, {}, False
-                for line in t.splitlines():
+                n_article, units = 0, []
+                for no, line in enumerate(t.splitlines()):
                     line = line.strip()
                     if not line:
                         continue
-                    if len(line) <= MESSAGE_LENGTH:
-                        lines[xxhash.xxh3_64_intdigest(masked(line).encode("utf-8", "surrogatepass")) - 2**63] = line
-                    elif is_gibberish(line) or is_filler(line):
-                        filler = True
-                    else:
-                        n_long += 1
-                for c, v in zip(out, (k, s, unfilled(t), n_long, [{"h": h, "line": x} for h, x in lines.items()] + ([{"h": 0, "line": "lorem ipsum"}] if filler else []))):
+                    parts = pieces(line)
+                    if parts is None:
+                        n_article += 1
+                        continue
+                    headline = is_headline(line)
+                    for x in parts:
+                        units.append({"line": no, "h": xxhash.xxh3_64_intdigest(masked(x).encode("utf-8", "surrogatepass")) - 2**63, "text": x, "size": len(x), "headline": headline})
+                for c, v in zip(out, (k, s, unfilled(t), n_article, units)):
                     out[c].append(v)
             yield out
 
     df = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")).where("text is not null and key is not null")
-    return map_rows(spread(df), run, f"key {dict(documents.dtypes)[key]}, source string, field boolean, n_long int, lines array<struct<h:bigint,line:string>>")
+    return map_rows(spread(df), run, LINES.format(kind=dict(documents.dtypes)[key]))
 
 
 def messages(lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(h, line, n_texts, n_sources, kind) of each group of lines with equal normalised form, counted over all texts.
+    """(h, line, n_texts, n_sources, kind) of each group of equal masked sentences, counted over all texts.
 
     only: hashes of the groups whose class is wanted.
     """
-    flat = lines.select(F.lower(F.trim("source")).alias("source"), F.explode("lines").alias("l")).select("source", "l.h", "l.line")
-    by_source = flat.groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
-    groups = by_source.groupBy("h").agg(F.sum("n").alias("n_texts"), F.count("source").alias("n_sources"), F.min("line").alias("line"))
-
+    flat = lines.select("key", F.lower(F.trim("source")).alias("source"), F.explode("units").alias("u")).select("key", "source", "u.h", "u.text")
     if only is not None:
-        groups = groups.join(only, "h", "left_semi")
+        flat = flat.join(small(only), "h", "left_semi")
+    # a sentence that a text repeats counts once
+    once = flat.groupBy("h", "key", "source").agg(F.min("text").alias("text"))
+    by_source = once.groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
+    groups = by_source.groupBy("h").agg(F.sum("n").alias("n_texts"), F.count("source").alias("n_sources"), F.min("text").alias("line"))
 
     def run(batches):
         for b in batches:
@@ -252,15 +332,25 @@ def messages(lines: DataFrame, only: DataFrame | None = None) -> DataFrame:
 def found(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key) of every text that is filler, a message or a demand for scripts, or an article with an unfilled field."""
     lines = cut(lines_of(documents, key, text, source), "lines")
-    # texts with an article and no unfilled field are settled; only the others need the classes of their lines
-    unsettled = lines.where("not field and n_long = 0").select("key", F.explode("lines.h").alias("h"))
-    kinds = messages(lines, unsettled.select("h").distinct()).select("h", "kind")
-    open_ = unsettled.join(kinds, "h")
+    # texts with an article and no unfilled field are settled; only the others need the classes of their groups
+    unsettled = lines.where("not field and n_article = 0").select("key", F.explode("units").alias("u")).select("key", "u.line", "u.h", "u.size", "u.headline")
+    kinds = messages(lines, cut(unsettled.select("h").distinct(), "open")).select("h", "kind")
+    return lines.where("field").select("key").unionByName(judged(unsettled.join(kinds, "h"))).distinct().withColumnRenamed("key", key)
+
+
+def judged(units: DataFrame) -> DataFrame:
+    """(key) of the texts that are messages, from (key, line, size, headline, kind) of their sentences."""
     bad = F.col("kind").isin("error", "script", "filler")
-    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(kind)
-    judged = open_.groupBy("key").agg(F.count(F.when(bad, 1)).alias("bad"), of("article"), of("headline"))
-    by_field = lines.where("field").select("key")
-    return by_field.unionByName(judged.where(f"bad > 0 and article = 0 and headline <= {HEADLINES}").select("key")).distinct().withColumnRenamed("key", key)
+    each = units.groupBy("key", "line").agg(
+        F.bool_or(bad).alias("bad"),
+        F.bool_or(~bad & (F.col("size") > ASIDE)).alias("more"),
+        F.bool_and(F.col("kind") == "furniture").alias("furniture"),
+        F.first("headline").alias("headline"),
+    )
+    is_bad = F.col("bad") & ~F.col("more")
+    rest = ~is_bad & ~F.col("furniture")
+    by_text = each.groupBy("key").agg(F.count_if(is_bad).alias("bad"), F.count_if(rest & F.col("headline")).alias("headline"), F.count_if(rest & ~F.col("headline")).alias("article"))
+    return by_text.where(f"bad > 0 and article = 0 and headline <= {HEADLINES}").select("key")
 
 
 def without(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
