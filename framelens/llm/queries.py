@@ -37,6 +37,11 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored(table(spark, sf_dir, "sample_articles"))
 
 
+def p3_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fields were found by a twin, by a learned mapping and by codec alone, and of which transformation."""
+    return encoding.ways(table(spark, sf_dir, "sample_articles"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every article whose content isn't garbled."""
     return sentences.split_sentences(table(spark, sf_dir, "sample_articles")).drop("unit_no")

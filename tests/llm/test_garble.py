@@ -6,6 +6,8 @@ import html
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from framelens.llm import encoding as N
 from framelens.llm import garble as G
 
@@ -113,3 +115,20 @@ def test_empty_and_long(spark):
     assert N.found(df).count() == 0 and N.restored(df).count() == 0
     long = spark.createDataFrame([("a", None, "x" * 300_000 + " Zürich — end".encode().decode("latin-1"), None, None, None)], SCHEMA)
     assert N.found(long).count() == 1
+
+
+def test_ways_of_finding(spark):
+    one = "The committee fined the old daughter of a worker in Z{}rich for nothing"
+    rows = [("a", one.format("ü")), ("b", one.format("Ã¼")), ("c", one.format("Ã¼") + " again"), ("d", "She said so in GÃ¶ul"), ("e", "No twin of it anywhere: ΓÇÖ and ΓÇö")]
+    df = spark.createDataFrame(rows, "article_id string, content string")
+    got = {r["way"]: r["n"] for r in N.ways(df, fields=("content",)).groupBy("way").agg(F.sum("n").alias("n")).collect()}
+    assert got == {"twin": 2, "mapping": 1, "codec": 1}
+    # without twins a single run of two characters proves nothing
+    assert N.found(df.where("article_id = 'd'"), fields=("content",)).count() == 0
+
+
+def test_the_latest_garbled_row_is_restored(spark):
+    text = "A longer text that was delivered first, about Zürich and so on – twice".encode().decode("latin-1")
+    rows = [("a", text, 1), ("a", "Shorter now, about Zürich – once".encode().decode("latin-1"), 2), ("a", "x", None)]
+    df = spark.createDataFrame(rows, "article_id string, content string, ingested_at int")
+    assert [tuple(r) for r in N.restored(df, fields=("content",)).collect()] == [("a", "content", "Shorter now, about Zürich – once", True)]
