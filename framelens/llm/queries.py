@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from pyspark.sql import functions as F
 
-from framelens.llm import crosssplit, encoding, grouped_split, mixing, neardup, packing, pieces, residue, sentences
+from framelens.llm import crosssplit, encoding, grouped_split, mixing, neardup, packing, pieces, residue, sentences, tokens
 from framelens.operators import corpus
 from framelens.session import table
 
@@ -77,6 +77,11 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "sample_articles"))
 
 
+def p6_token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents of more than 512 tokens in pieces of at most 512, with up to 32 tokens of the piece before."""
+    return pieces.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32, "fetched_at", tokens.vocabulary_path())
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of near copies; copies of one text pair by pair, in a class of 64 and more as links to the smallest (p7_groups
     has the size of each class)."""

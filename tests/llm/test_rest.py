@@ -266,3 +266,33 @@ def test_length_settles_nothing(spark):
     rows = [(1, notice, "a"), (2, filler, "b"), (3, article, "c"), (4, "Здесь будет текст. " * 2, "d"), (5, None, "e"), (6, " \n ", None)]
     assert {r[0] for r in D.found(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()} == {1, 2, 4}
     assert D.is_gibberish("Sed ut enim minim veniam nostrud ullamco nisi commodo duis aute irure.")
+
+
+def test_pieces_in_tokens():
+    from framelens.llm import tokens as T
+
+    encoding = T.encoder(T.vocabulary_path())
+    texts = ["The council met. It fined Zürich €5 – twice. " * 60, "महिलाओं के पास केवल 19% पद हैं। " * 60, "日本の女性管理職は四人に達した。" * 80, "x" * 4000, "👩🏽‍💼" * 300, "ab"]
+    for text in texts:
+        parts = encoding.decode_tokens_bytes(encoding.encode_ordinary(text))
+        starts = P.token_starts(text, parts)
+        assert len(starts) == len(parts) and starts == sorted(starts)
+        for limit, overlap in ((100, 10), (40, 0), (7, 3)):
+            covered = 0
+            for a, b, forced in P.split(text, limit, overlap, starts):
+                inside = sum(a <= x < b for x in starts)
+                assert a <= covered < b and inside <= limit
+                assert sum(a <= x < covered for x in starts) <= overlap
+                covered = b
+            assert covered == len(text)
+    assert P.split("", 10, 2, []) == []
+
+
+def test_token_pieces_of_a_table(spark):
+    rows = [(1, "A sentence of some words. " * 200, "c"), (2, None, "c"), (3, "", "c"), (4, "short", "c"), (1, "A sentence of some words. " * 200, "c")]
+    from framelens.llm import tokens as T
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, start string")
+    got = P.pieces(df, "doc_id", "text", 100, 10, "fetched_at", T.vocabulary_path()).orderBy("piece_no").collect()
+    assert {r["doc_id"] for r in got} == {1} and got[0]["char_start"] == 0 and got[-1]["char_end"] == len(rows[0][1]) and not any(r["forced"] for r in got)
+    assert [r["piece_no"] for r in got] == list(range(len(got)))
