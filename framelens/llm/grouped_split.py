@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.session import cut
+from framelens.session import cut, drop_cut
 
 #: Bylines that name nobody.
 NOBODY = ("staff", "newsroom", "editorial board")
@@ -54,7 +54,8 @@ def values_of(articles: DataFrame, mapping: DataFrame, key: str = "article_id")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label) by hash-to-min; label is the smallest node of the component. edges: (x, y), any order, loops allowed."""
+    """(node, label) by hash-to-min; label is the smallest node of the component. edges: (x, y), of any type that has an
+    order; any order, loops allowed."""
     both = edges.select(F.col("x").alias("v"), F.col("y").alias("u")).unionByName(edges.select(F.col("y").alias("v"), F.col("x").alias("u")))
     loops = both.select("v", F.col("v").alias("u"))
     clusters = cut(both.unionByName(loops).distinct(), "clusters")
@@ -63,7 +64,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = clusters.groupBy("v").agg(F.min("u").alias("m"))
         held = clusters.join(least, "v")
         sent = held.select(F.col("m").alias("v"), "u").unionByName(held.select(F.col("u").alias("v"), F.col("m").alias("u")))
-        clusters = cut(sent.distinct(), "clusters")
+        before, clusters = clusters, cut(sent.distinct(), "clusters")
+        drop_cut(before)
         now = clusters.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("sum")).first()
         if now == seen:
             return clusters.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("label"))
@@ -73,7 +75,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def groups(articles: DataFrame, mapping: DataFrame, key: str = "article_id") -> DataFrame:
     """(key, group_id) of every record."""
-    values = cut(values_of(articles, mapping, key).withColumn("node", F.xxhash64("value")).select("key", "node"), "values")
+    values = cut(values_of(articles, mapping, key).select("key", F.col("value").alias("node")), "values")
     # a record's values are few: its source and the names in its byline
     first = values.groupBy("key").agg(F.min("node").alias("x"))
     edges = values.join(first, "key").select("x", F.col("node").alias("y")).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.llm.packing import sized
-from framelens.session import cut
+from framelens.session import cut, small
 
 #: Texts in a range of keys, on average; a range is put in order by one task.
 RANGE_TEXTS = 20_000
@@ -32,10 +32,12 @@ def chosen(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     """(key, source, n_tokens) of the different texts of the target sources."""
     wanted = targets.select(same_source("source").alias("s")).where("s is not null").distinct()
     own = documents.select(key, F.col(text).alias("text"), same_source("source").alias("s")).where(F.col("text").rlike(r"(?U)\S")).join(wanted, "s")
-    # equal texts by a hash of the text: the text itself isn't shuffled
-    first = own.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct(key, "s")).alias("x")).select(F.col(f"x.{key}").alias(key), F.col("x.s").alias("s"))
-    sizes = sized(own, key, "text", vocabulary)
-    return sizes.join(first, key).where("n_tokens > 0").select(key, F.col("s").alias("source"), "n_tokens")
+    # equal texts by a hash of the text; neither they nor what is left are shuffled, and only what is left is encoded
+    hashed = cut(own.select(key, "s", F.md5("text").alias("h")), "hashes")
+    first = hashed.groupBy("h").agg(F.min(F.struct(key, "s")).alias("x")).select("h", F.col(f"x.{key}").alias("_first"))
+    repeats = cut(hashed.join(first, "h").where(F.col(key) != F.col("_first")).select(key), "repeats")
+    sizes = sized(own.join(small(repeats), key, "left_anti"), key, "text", vocabulary)
+    return sizes.join(hashed.select(key, F.col("s").alias("source")), key).where("n_tokens > 0").select(key, "source", "n_tokens")
 
 
 def budgets(texts: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:

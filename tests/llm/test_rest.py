@@ -296,3 +296,17 @@ def test_token_pieces_of_a_table(spark):
     got = P.pieces(df, "doc_id", "text", 100, 10, "fetched_at", T.vocabulary_path()).orderBy("piece_no").collect()
     assert {r["doc_id"] for r in got} == {1} and got[0]["char_start"] == 0 and got[-1]["char_end"] == len(rows[0][1]) and not any(r["forced"] for r in got)
     assert [r["piece_no"] for r in got] == list(range(len(got)))
+
+
+def test_shards_lose_little(spark):
+    r = random.Random(6)
+    items = spark.createDataFrame([(i, r.choice([r.randint(1, 60), r.randint(1, 2048)])) for i in range(3000)], "doc_id long, n_tokens long")
+    used = {}
+    for per_shard in (3000, 1000):
+        packed = K.pack(items, per_shard=per_shard)
+        whole = packed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "part").alias("d"), F.sum("size").alias("s")).first()
+        assert whole["n"] == whole["d"] == 3000 and whole["s"] == items.agg(F.sum("n_tokens")).first()[0]
+        fill = K.fill(packed).first()
+        assert fill["fullest"] <= 2048
+        used[per_shard] = fill["n_containers"]
+    assert used[1000] <= 1.005 * used[3000]
