@@ -6,8 +6,9 @@ holds either; a cell as a count, as a count in a string, as a list of exemplars,
 
 Defined results: a payload that isn't whole JSON, null or without articles has no row; names are taken as written; keys other
 than the four frames are not coding; NaN counts are null; rows and deliveries that repeat count once; an article that isn't an
-object has an article row without an id; a cell that a list names again adds its exemplars and its count to the first, unless it
-is equal to one before it.
+object has an article row without an id; a null in a list of exemplars is none, but those after it keep their place; an
+exemplar that isn't an object is a quote; a cell that a list names again adds its exemplars, in order, and its count to the
+first, unless it is equal to one before it.
 """
 
 from __future__ import annotations
@@ -62,15 +63,19 @@ TAGS = (*EXEMPLARS, "tags", "[]")
 MARKS = (*EXEMPLARS, "review", "marks", "[]")
 
 
+def _listed(exemplars: list) -> list[dict[str, Any] | None]:
+    return [e if e is None or isinstance(e, dict) else {"quote": e} for e in exemplars]
+
+
 def one_shape_of_cell(cell: Any) -> dict[str, Any] | None:
     """{'count', 'exemplars'} of a cell in any shape; null for null and empty cells."""
     if cell is None or cell in ("", [], {}):
         return None
     if isinstance(cell, dict):
         listed = cell.get("exemplars")
-        return {"count": cell.get("count"), "exemplars": [e for e in listed if e is not None] if isinstance(listed, list) else None}
+        return {"count": cell.get("count"), "exemplars": _listed(listed) if isinstance(listed, list) else None}
     if isinstance(cell, list):
-        return {"count": None, "exemplars": [e for e in cell if e is not None]}
+        return {"count": None, "exemplars": _listed(cell)}
     return {"count": cell, "exemplars": None}
 
 
@@ -138,11 +143,11 @@ def rows_of(record_id: str, record: dict[str, Any]) -> Iterator[tuple]:
     articles = {r["ordinals"]: r for r in S.table(RECORD, columns, ARTICLES)}
     for (no,), a in articles.items():
         yield ("article", record_id, no, a.get("article_id"), a.get("source"), *[None] * 13)
-    counts = S.child_counts(RECORD, columns, CELLS, EXEMPLARS)
+    counts = S.child_counts(RECORD, columns, CELLS, EXEMPLARS, nulls=False)
     for r in S.table(RECORD, columns, CELLS):
         a = articles[r["ordinals"][:1]]
         yield ("cell", record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], None, r.get("count"), counts.get(r["ordinals"], 0), *[None] * 8)
-    for r in S.table(RECORD, columns, EXEMPLARS) if counts else ():
+    for r in S.table(RECORD, columns, EXEMPLARS, nulls=False) if counts else ():
         a = articles[r["ordinals"][:1]]
         yield ("exemplar", record_id, r["ordinals"][0], a.get("article_id"), a.get("source"), *r["keys"], r["ordinals"][3], None, None, r.get("sentence"), r.get("coder"), r.get("quote"), r.get("review.by"), *[None] * 4)
     for part, path in (("tag", TAGS), ("mark", MARKS)) if counts else ():

@@ -126,9 +126,11 @@ def definition_of(schema: Any, ancestor: tuple[str, ...]) -> int:
     return level
 
 
-def table(schema: Any, columns: dict[tuple[str, ...], Column], ancestor: tuple[str, ...]) -> list[dict[str, Any]]:
+def table(schema: Any, columns: dict[tuple[str, ...], Column], ancestor: tuple[str, ...], nulls: bool = True) -> list[dict[str, Any]]:
     """The rows of a repeated ancestor (a path that ends in '[]' or '{}', or () for the record itself).
 
+    Without ``nulls``, an object that is null keeps its place among the ordinals but has no row.
+
     Each row: ``ordinals`` of its repeated ancestors, outermost first, its own last; ``keys`` of the maps among them; and by
     relative path, joined by dots, the values of the leaves that hang on it without a repetition between.
     """
@@ -151,8 +153,9 @@ def table(schema: Any, columns: dict[tuple[str, ...], Column], ancestor: tuple[s
             continue
         if n_rep:
             _count(ordinals, r)
-        rows.append({"ordinals": tuple(ordinals), "keys": ()})
-        at.append(i)
+        if nulls or d > least:
+            rows.append({"ordinals": tuple(ordinals), "keys": ()})
+            at.append(i)
     for name, c in named:
         if name == "#key" or len(c.values) == len(lead.values):
             for row, i in zip(rows, at):
@@ -177,10 +180,10 @@ def _count(ordinals: list[int], rep: int) -> None:
         ordinals[k] = 0
 
 
-def child_counts(schema: Any, columns: dict[tuple[str, ...], Column], ancestor: tuple[str, ...], child: tuple[str, ...]) -> dict[tuple[int, ...], int]:
+def child_counts(schema: Any, columns: dict[tuple[str, ...], Column], ancestor: tuple[str, ...], child: tuple[str, ...], nulls: bool = True) -> dict[tuple[int, ...], int]:
     """How many instances of a repeated child each instance of the ancestor has."""
     depth = sum(s in REPEATED for s in ancestor)
     out: dict[tuple[int, ...], int] = {}
-    for row in table(schema, columns, child):
+    for row in table(schema, columns, child, nulls):
         out[row["ordinals"][:depth]] = out.get(row["ordinals"][:depth], 0) + 1
     return out

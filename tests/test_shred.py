@@ -88,3 +88,14 @@ def test_articles_and_empty_tables(spark):
     d = spark.createDataFrame([], "delivery_id string, payload string")
     assert C.coded_units(C.shredded(a.limit(0), d)).count() == 0
     assert C.exemplar_table(C.shredded(a, d)).count() == 0 and C.cell_table(C.shredded(a, d)).count() >= 1
+
+
+def test_null_exemplars_keep_the_places_of_others(spark):
+    payloads = [
+        ("d1", '{"sample_articles": [{"article_id": "a", "human_coding": {"obstacles": {"women": [null, {"quote": "b"}, "c"]}}}]}'),
+        ("d2", '{"sample_articles": [{"article_id": "a", "human_coding": {"obstacles": {"women": {"count": 2, "exemplars": [null]}, "men": [null]}}}]}'),
+    ]
+    rows = C.shredded_deliveries(spark.createDataFrame(payloads, "delivery_id string, payload string"))
+    assert {(r["record_id"], r["demographic_group"], r["exemplar_no"]) for r in C.coded_units(rows).collect()} == {("d1", "women", 1), ("d1", "women", 2), ("d2", "women", -1)}
+    assert {(r["exemplar_no"], r["quote"]) for r in C.exemplar_table(rows).collect()} == {(1, "b"), (2, "c")}
+    assert {(r["demographic_group"], r["count"], r["n_exemplars"]) for r in C.cell_table(rows).where("record_id = 'd2'").collect()} == {("women", 2.0, 0), ("men", None, 0)}
