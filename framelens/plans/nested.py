@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelens.operators import coding_tables as C
 from framelens.session import table
@@ -34,7 +35,7 @@ def p1_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.mark_table(_rows(spark, sf_dir))
+    return C.mark_table(_rows(spark, sf_dir)).withColumn("agree", F.col("agree").cast("string"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_articles": p1_articles, "p1_cells": p1_cells, "p1_exemplars": p1_exemplars, "p1_tags": p1_tags, "p1_marks": p1_marks}
@@ -77,7 +78,7 @@ def _sql() -> dict[str, str]:
         f"UNION SELECT {ids}, v, n FROM n",
         "p1_exemplars": f"{articles}{cells} SELECT DISTINCT {ids}, i AS exemplar_no, {whole} AS sentence, (x ->> 'coder') AS coder, CASE WHEN json_type(x) = 'OBJECT' THEN (x ->> 'quote') ELSE (x ->> '$') END AS quote, ((x -> 'review') ->> 'by') AS reviewer FROM p",
         "p1_tags": f"{articles}{cells} SELECT DISTINCT {ids}, i AS exemplar_no, j AS tag_no, (y ->> '$') AS tag FROM (SELECT *, unnest(from_json((x -> 'tags'), '[\"JSON\"]')) AS y, generate_subscripts(from_json((x -> 'tags'), '[\"JSON\"]'), 1) - 1 AS j FROM p)",
-        "p1_marks": f"{articles}{cells} SELECT DISTINCT {ids}, i AS exemplar_no, j AS mark_no, TRY_CAST((y ->> 'agree') AS BOOLEAN) AS agree FROM (SELECT *, unnest(from_json(((x -> 'review') -> 'marks'), '[\"JSON\"]')) AS y, generate_subscripts(from_json(((x -> 'review') -> 'marks'), '[\"JSON\"]'), 1) - 1 AS j FROM p)",
+        "p1_marks": f"{articles}{cells} SELECT DISTINCT {ids}, i AS exemplar_no, j AS mark_no, TRY_CAST((y ->> 'agree') AS BOOLEAN)::VARCHAR AS agree FROM (SELECT *, unnest(from_json(((x -> 'review') -> 'marks'), '[\"JSON\"]')) AS y, generate_subscripts(from_json(((x -> 'review') -> 'marks'), '[\"JSON\"]'), 1) - 1 AS j FROM p)",
     }
 
 
