@@ -27,6 +27,16 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("share", F.round(F.col("n_articles") / F.sum("n_articles").over(Window.partitionBy(F.lit(1))), 6))
 
 
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the splits: every article once, no group parted, each share within a thousandth."""
+    s = p2_splits(spark, sf_dir)
+    by = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("parts"))
+    whole = by.agg(F.sum("n").alias("n_articles"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("parts") > 1).alias("n_parted"))
+    sizes = s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    far = sizes.join(F.broadcast(whole.select("n_articles"))).agg(F.count_if(F.abs(F.col("n") / F.col("n_articles") - F.element_at(F.create_map(*(F.lit(x) for kv in grouped_split.SHARES.items() for x in kv)), F.col("split"))) > 0.001).alias("n_far_off"))
+    return whole.join(F.broadcast(far))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and contents with any garbled text."""
     return encoding.found(table(spark, sf_dir, "sample_articles"))
@@ -77,6 +87,15 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "sample_articles"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the pieces of each article: they cover it without a gap, none is over the limit, the overlap is within its."""
+    p = p6_pieces(spark, sf_dir)
+    size = F.col("char_end") - F.col("char_start")
+    by = p.groupBy("article_id").agg(F.max("char_end").alias("n_chars"), F.sum(F.col("char_end") - F.col("new_start")).alias("n_new"), F.count(F.lit(1)).alias("n"), (F.max("piece_no") + 1).alias("numbered"), F.max(size).alias("longest"), F.max(F.col("new_start") - F.col("char_start")).alias("overlap"), F.min(F.col("new_start") - F.col("char_start")).alias("gap"))
+    good = (F.col("n_new") == F.col("n_chars")) & (F.col("n") == F.col("numbered")) & (F.col("longest") <= 3000) & (F.col("overlap") <= 200) & (F.col("gap") >= 0)
+    return by.select("article_id", "n_chars", good.cast("int").alias("good"))
+
+
 def p6_token_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of documents of more than 512 tokens in pieces of at most 512, with up to 32 tokens of the piece before."""
     return pieces.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", 512, 32, "fetched_at", tokens.vocabulary_path())
@@ -109,6 +128,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p8_containers(spark, sf_dir))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the containers: every text whole, none over the capacity, no text cut that needn't be."""
+    c = p8_containers(spark, sf_dir)
+    texts = c.groupBy("doc_id").agg(F.sum("size").alias("n"), F.max(F.col("start") + F.col("size")).alias("last"), F.count(F.lit(1)).alias("parts"), F.countDistinct("part").alias("different"))
+    whole = texts.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("n") != F.col("last")) | (F.col("parts") != F.col("different")) | (F.col("parts") != F.ceil(F.col("n") / packing.CAPACITY))).alias("n_wrong"))
+    over = c.groupBy("container").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("n_over"))
+    return whole.join(F.broadcast(over))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of the mix and how often each is used."""
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -119,6 +147,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the mix: no text over its source's repeats, and each source that has text at its share among those that
+    have, as near as its largest text allows."""
+    s = p9_shares(spark, sf_dir)
+    largest = p9_mix(spark, sf_dir).agg(F.coalesce(F.max("n_tokens"), F.lit(0)).alias("largest"))
+    whole = s.agg(F.sum(F.when(F.col("available") > 0, F.col("target_share"))).alias("able"), F.sum("tokens").alias("total"))
+    far = (F.col("available") > 0) & (F.abs(F.col("tokens") - F.col("target_share") / F.col("able") * F.col("total")) > F.col("largest"))
+    return s.join(F.broadcast(whole)).join(F.broadcast(largest)).select("source", "target_share", "max_repeats", (F.col("available") > 0).cast("int").alias("has_text"), (F.col("most_uses") <= F.col("max_repeats")).cast("int").alias("within_repeats"), (~far).cast("int").alias("at_share"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are template residue, filler, an error page or a demand for scripts in place of an article."""
     return residue.found(table(spark, sf_dir, "documents"))
