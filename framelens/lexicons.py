@@ -77,11 +77,11 @@ DEMOGRAPHIC_TERMS = {
 }
 
 LINGUISTIC_PATTERNS = {
-    "passive_voice": r"\b(?:was|were|been|being|is|are|am)\s+\w+ed\b",
-    "active_voice": r"\b(?:holds?|leads?|manages?|directs?|heads?)\b",
-    "comparison": r"\b(?:more|less|fewer|greater|higher|lower)\s+than\b",
+    "passive_voice": r"\b(was|were|been|being|is|are|am)\s+\w+ed\b",
+    "active_voice": r"\b(holds?|leads?|manages?|directs?|heads?)\b",
+    "comparison": r"\b(more|less|fewer|greater|higher|lower)\s+than\b",
     "statistics": r"\b\d+\.?\d*\s*(?:percent|%|percentage)\b",
-    "absolute": r"\b(?:all|every|none|never|always|only)\b",
+    "absolute": r"\b(all|every|none|never|always|only)\b",
 }
 PERCENTAGE = r"(\d+(?:\.\d+)?)\s*(?:percent|%)"
 COMPARISON = r"(\d+(?:\.\d+)?)\s*times\s*(more|less|higher|lower)"
@@ -108,3 +108,20 @@ ZERO_SHOT_LABELS = {
     "obstacles": "barriers and obstacles to leadership",
     "successes": "achievements and successes in leadership",
 }
+
+#: Wordings of each frame; what stands in brackets is filled from TEMPLATE_TERMS, X% is a percentage.
+FRAME_TEMPLATES = {
+    "underrepresentation": ("only X% are [demographic]", "[demographic] make up just X%", "[demographic] are hired at much lower rates", "few [demographic] hold [leadership position]"),
+    "overrepresentation": ("[demographic] comprise X% of [leadership roles]", "[demographic] remain overrepresented", "[demographic] dominate [sector/position]", "X% of [leadership positions] are held by [demographic]"),
+    "obstacles": ("[demographic] face barriers", "harder time for [demographic]", "[discrimination type] impact [demographic]", "[demographic] are up against [obstacle metaphor]"),
+    "successes": ("[demographic] became the first [position]", "[demographic] are making great strides", "[demographic] achieved [milestone]", "breakthrough for [demographic]"),
+}
+#: Function words by which a text in Latin letters is known for its language.
+FUNCTION_WORDS = {
+    "en": ("the", "of", "and", "to", "in", "is", "that", "for", "was", "with", "at", "by", "has", "from", "are", "said"),
+    "de": ("der", "die", "das", "und", "nicht", "ist", "von", "mit", "den", "für", "auf", "ein", "eine", "im", "dem", "sich"),
+    "fr": ("le", "la", "les", "des", "et", "est", "une", "dans", "pour", "que", "qui", "du", "au", "sur", "pas", "plus"),
+    "es": ("el", "la", "los", "las", "de", "que", "en", "una", "por", "con", "para", "del", "se", "su", "fue", "más"),
+}
+#: Languages known by their script: the class of their letters.
+SCRIPTS = {"ja": r"[\x{3040}-\x{30FF}]", "zh": r"[\x{4E00}-\x{9FFF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]", "hi": r"[\x{0900}-\x{097F}]", "th": r"[\x{0E00}-\x{0E7F}]", "am": r"[\x{1200}-\x{139F}]", "ko": r"[\x{AC00}-\x{D7A3}]"}

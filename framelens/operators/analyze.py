@@ -27,14 +27,14 @@ def segment_for_analysis(articles: DataFrame, cleaned: str = "cleaned_content",
     return df.withColumn("metadata", meta).drop("_text")
 
 
-def units(articles: DataFrame, text: str = "content", windows: bool = True) -> DataFrame:
-    """(article_id, unit_no, text): windows of sentences, or the whole text as one unit."""
+def units(articles: DataFrame, text: str = "content", windows: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(article_id, unit_no, text): windows of sentences, or the whole text as one unit. ``keep``: columns of the article to carry."""
     if not windows:
-        return articles.select("article_id", F.lit(0).alias("unit_no"), F.col(text).alias("text"))
+        return articles.select("article_id", F.lit(0).alias("unit_no"), F.col(text).alias("text"), *keep)
     # the sentences are a column of their own, so that they are not cut again for each window
-    sents = articles.select("article_id", X.sentences(F.col(text)).alias("s"))
-    w = sents.select("article_id", F.explode(G.sliding_windows(F.col("s"))).alias("w"))
-    return w.select("article_id", F.col("w.window_id").alias("unit_no"), F.col("w.text").alias("text"))
+    sents = articles.select("article_id", X.sentences(F.col(text)).alias("s"), *keep)
+    w = sents.select("article_id", F.explode(G.sliding_windows(F.col("s"))).alias("w"), *keep)
+    return w.select("article_id", F.col("w.window_id").alias("unit_no"), F.col("w.text").alias("text"), *keep)
 
 
 class FrameAnalyzer:
@@ -49,17 +49,13 @@ class FrameAnalyzer:
 
     def unit_results(self, articles: DataFrame) -> DataFrame:
         """(article_id, unit_no, text, prediction, demographics)"""
-        if self.segment:
-            u = units(articles, "content", True)
-        else:
-            text = X.clean_text(F.col("content")) if self.preprocess else F.col("content")
-            u = units(articles.select("article_id", text.alias("content")), "content", False)
-        u = detect(u, self.detector)
-        if not self.preprocess:
-            return u.withColumn("demographics", X.mentioned_people(F.col("text")))
-        groups = articles.select("article_id", F.map_keys(X.demographics(X.clean_text(F.col("content")))).alias("_groups"))
         own = X.mentioned_people(F.col("text"))
-        return u.join(groups, "article_id").withColumn("demographics", F.when(F.size("_groups") > 0, F.col("_groups")).otherwise(own)).drop("_groups")
+        if not self.preprocess:
+            return detect(units(articles, "content", self.segment), self.detector).withColumn("demographics", own)
+        cleaned = articles.select("article_id", "content", X.clean_text(F.col("content")).alias("_cleaned"))
+        groups = cleaned.select("article_id", "content", "_cleaned", F.map_keys(X.demographics(F.col("_cleaned"))).alias("_groups"))
+        u = detect(units(groups, "content" if self.segment else "_cleaned", self.segment, ("_groups",)), self.detector)
+        return u.withColumn("demographics", F.when(F.size("_groups") > 0, F.col("_groups")).otherwise(own)).drop("_groups")
 
     def analyze(self, articles: DataFrame, detailed: bool = True) -> DataFrame:
         """One row an article: frames_detected, frame_scores, demographics, frame_counts, segments_analyzed, detailed_results.

@@ -101,6 +101,57 @@ def validation_summary(articles: DataFrame, min_length: int = 50) -> DataFrame:
     return out.withColumn("missing_coding", missing).withColumn("is_valid", F.col("n_issues") == 0)
 
 
+def validation_counts(articles: DataFrame) -> DataFrame:
+    """(kind, name, n): articles of each source, annotations of each frame and of each group, in one pass. Kinds are 'source',
+    'frame' and 'group'; a null source is counted."""
+    named = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"))
+    cells = F.flatten(F.transform(F.map_entries("human_coding"), lambda f: F.flatten(F.transform(F.map_entries(f["value"]), lambda g: F.array(named("frame", f["key"]), named("group", g["key"]))))))
+    # a frame without groups flattens to null
+    filled = F.map_filter("human_coding", lambda _, g: g.isNotNull())
+    each = F.concat(F.array(named("source", F.col("source"))), F.coalesce(cells, F.array().cast("array<struct<kind:string,name:string>>")))
+    return articles.withColumn("human_coding", filled).select(F.explode(each).alias("x")).groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Length of a content that is neither too short nor too long.
+LEAST_LENGTH, MOST_LENGTH = 100, 50_000
+
+
+def quality_issues(articles: DataFrame, shortest: int = LEAST_LENGTH, longest: int = MOST_LENGTH, expected: str = "en", least_share: float = 0.0) -> DataFrame:
+    """(article_id, issue): 'too short', 'too long', 'encoding', 'language', 'duplicate'.
+
+    encoding: a replacement character, or a control character other than tabs and line ends. language: known, and another than
+    ``expected`` (with a score of least_share and more). duplicate: an article with a smaller id has the same cleaned text
+    (found by its md5: no text is moved). Null contents are too short and nothing else.
+    """
+    from framelens.functions.language import language
+
+    c = F.col("content")
+    staged = articles.select("article_id", "content", language(c).alias("_l"), F.md5(X.clean_text(c)).alias("_h"))
+    found = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.char_length(c) < shortest, F.lit(True)), F.lit("too short")),
+            F.when(F.char_length(c) > longest, F.lit("too long")),
+            F.when(c.rlike(r"[\x{FFFD}\x00-\x08\x0E-\x1F\x7F]"), F.lit("encoding")),
+            F.when((F.col("_l.lang") != expected) & (F.col("_l.score") >= least_share), F.lit("language")),
+        )
+    )
+    issues = cut(staged.select("article_id", "_h", found.alias("_found")), "issues")
+    first = issues.where("_h is not null").groupBy("_h").agg(F.min("article_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = issues.join(first, "_h").where(F.col("article_id") != F.col("_first")).select("article_id", F.lit("duplicate").alias("issue"))
+    return issues.select("article_id", F.explode("_found").alias("issue")).unionByName(repeated)
+
+
+def without_duplicates(articles: DataFrame) -> DataFrame:
+    """articles but for those whose cleaned text an article with a smaller id has."""
+    repeated = quality_issues(articles).where("issue = 'duplicate'").select("article_id")
+    return articles.join(small(cut(repeated, "duplicates")), "article_id", "left_anti")
+
+
+def head(articles: DataFrame, n: int = 5, key: str = "article_id") -> DataFrame:
+    """The first n articles by id: a limit is the point."""
+    return articles.orderBy(key).limit(n)
+
+
 def split_sizes(n: int, val: float = 0.2, test: float = 0.2, of_total: bool = False) -> tuple[int, int, int]:
     """Sizes of train, val and test; val is a part of what test leaves, unless of_total."""
     rest = int(n * (1 - test))
@@ -136,8 +187,9 @@ def train_val_test(articles: DataFrame, key: str = "article_id", val: float = 0.
 
 
 def folds(articles: DataFrame, k: int = 5, key: str = "article_id", seed: int = 42) -> DataFrame:
-    """articles with ``fold`` from 0 to k - 1 by a hash of the key, for cross-validation."""
-    return articles.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(k)).cast("int"))
+    """articles with ``fold`` from 0 to k - 1 by the md5 of key and seed, for cross-validation."""
+    h = F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed))))
+    return articles.withColumn("fold", (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % k).cast("int"))
 
 
 def batches(df: DataFrame, size: int, order: str, within: str) -> DataFrame:
@@ -173,6 +225,31 @@ def preprocess(articles: DataFrame) -> DataFrame:
     )
 
 
+def ngrams(text: Column) -> Column:
+    """Words of two characters and more, in lower case, and their pairs in order."""
+    words = F.filter(X.tokens(text), lambda w: F.char_length(w) > 1)
+    return X.bound(words, lambda w: F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
+
+
+def tfidf(articles: DataFrame, n_terms: int = 1000, text: str = "content") -> DataFrame:
+    """(article_id, term, tf, n_articles, idf, weight): the n_terms commonest words and pairs of words (of equals the first by
+    name), their counts in each article, and weights tf * idf of length 1 in each article; idf = ln((1 + n) / (1 + n_articles)) + 1.
+
+    Only counts are moved: the terms are chosen by counts combined before the shuffle, and sent to all (n_terms rows).
+    Null texts take no part.
+    """
+    grams = articles.where(F.col(text).isNotNull()).select("article_id", ngrams(F.col(text)).alias("_g"))
+    n = articles.where(F.col(text).isNotNull()).count()
+    totals = grams.select(F.explode("_g").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = cut(totals.orderBy(F.desc("_n"), "term").limit(n_terms).select("term"), "terms")
+    tf = cut(grams.select("article_id", F.explode("_g").alias("term")).join(F.broadcast(chosen), "term", "left_semi").groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("n_articles"))
+    idf = df.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("n_articles") + 1.0)) + 1.0)
+    raw = tf.join(F.broadcast(idf), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy("article_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return raw.join(norms, "article_id").select("article_id", "term", "tf", "n_articles", "idf", (F.col("_w") / F.col("_norm")).alias("weight"))
+
+
 def training_examples(articles: DataFrame, text: str = "content") -> DataFrame:
     """(article_id, paragraph_no, text, demographics, labels): relevant paragraphs with the article's coded frames."""
     labels = coded_frames(F.col("human_coding")) if "human_coding" in articles.columns else F.lit(None).cast("array<string>")

@@ -80,9 +80,10 @@ def frame_flags(df: DataFrame, human: Column, predicted: Column) -> DataFrame:
     return df.select("article_id", each.alias("x")).select("article_id", "x.frame", "x.human", "x.ml")
 
 
-def confusion(flags: DataFrame, *by: str) -> DataFrame:
+def confusion(flags: DataFrame, rollup: bool = False) -> DataFrame:
+    """(frame, tp, fp, fn, tn) of each frame; with ``rollup`` of all together too, whose frame is null."""
     h, m = F.col("human"), F.col("ml")
-    return flags.groupBy(*by).agg(F.count_if(h & m).alias("tp"), F.count_if(~h & m).alias("fp"), F.count_if(h & ~m).alias("fn"), F.count_if(~h & ~m).alias("tn"))
+    return (flags.rollup("frame") if rollup else flags.groupBy("frame")).agg(F.count_if(h & m).alias("tp"), F.count_if(~h & m).alias("fp"), F.count_if(h & ~m).alias("fn"), F.count_if(~h & ~m).alias("tn"))
 
 
 def _rates() -> dict[str, Column]:
@@ -98,10 +99,11 @@ def _rates() -> dict[str, Column]:
 def agreement_metrics(flags: DataFrame) -> DataFrame:
     """(metric, value): precision, recall, F1 and kappa of each frame, and overall ones over all frames with accuracy."""
     rates = _rates()
-    each = confusion(flags, "frame").select("frame", *(rates[k].alias(k) for k in ("precision", "recall", "f1", "kappa")))
-    per_frame = each.unpivot(["frame"], ["precision", "recall", "f1", "kappa"], "m", "value").select(F.concat_ws("_", "frame", "m").alias("metric"), "value")
-    whole = confusion(flags).select(*(rates[k].alias(f"overall_{k}") for k in ("precision", "recall", "f1", "accuracy")))
-    return per_frame.unionByName(whole.unpivot([], whole.columns, "metric", "value"))
+    # one pass for the frames and the whole, whose frame is null
+    each = confusion(flags.where("frame is not null"), rollup=True).select("frame", *(c.alias(k) for k, c in rates.items()))
+    value = each.unpivot(["frame"], list(rates), "m", "value")
+    wanted = F.when(F.col("frame").isNull(), F.col("m") != "kappa").otherwise(F.col("m") != "accuracy")
+    return value.where(wanted).select(F.concat_ws("_", F.coalesce("frame", F.lit("overall")), "m").alias("metric"), "value")
 
 
 def match_accuracy(flags: DataFrame) -> DataFrame:

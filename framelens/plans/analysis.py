@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framelens import lexicons as L
 from framelens.functions import features as E
+from framelens.functions import language as N
 from framelens.functions import segments as G
 from framelens.functions import text as X
 from framelens.operators import analyze as A
@@ -16,6 +17,7 @@ from framelens.operators import corpus as C
 from framelens.operators import detect as D
 from framelens.operators import evaluate as V
 from framelens.session import table
+from framelens.sources import articles as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,6 +100,41 @@ def validation_issues(spark, sf_dir):
     return C.issues(articles(spark, sf_dir, "content", "human_coding"))
 
 
+@query
+def validation_counts(spark, sf_dir):
+    """Articles of each source, annotations of each frame and group."""
+    return C.validation_counts(articles(spark, sf_dir, "source", "human_coding"))
+
+
+@query
+def incomplete_articles(spark, sf_dir):
+    """Rows as delivered that lack a required field."""
+    return S.incomplete(table(spark, sf_dir, "sample_articles")).select("article_id", joined("missing").alias("missing")).distinct()
+
+
+@query
+def quality_issues(spark, sf_dir):
+    return C.quality_issues(articles(spark, sf_dir, "content"))
+
+
+@query
+def languages(spark, sf_dir):
+    """The language of each article by script and function words, with its score."""
+    a = articles(spark, sf_dir, "content").select("article_id", N.language(F.col("content")).alias("l"))
+    return a.select("article_id", "l.lang", F.round("l.score", 6).alias("score"))
+
+
+@query
+def first_articles(spark, sf_dir):
+    """The first five articles by id: a limit is the point."""
+    return C.head(articles(spark, sf_dir, "source", "title")).select("article_id", "source", "title")
+
+
+@query
+def fold_assignment(spark, sf_dir):
+    return C.folds(articles(spark, sf_dir)).select("article_id", F.col("fold").cast("bigint").alias("fold"))
+
+
 @query
 def split_sizes(spark, sf_dir):
     return C.train_val_test(articles(spark, sf_dir)).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
@@ -202,7 +239,19 @@ def statistics_extract(spark, sf_dir):
 def frame_candidates(spark, sf_dir):
     a = articles(spark, sf_dir, "content").select("article_id", X.clean_text(F.col("content")).alias("t"))
     a = a.select("article_id", F.explode(X.frame_candidates(F.col("t"))).alias("frame", "c"))
-    return a.select("article_id", "frame", F.size("c").cast("bigint").alias("n"), F.aggregate("c", F.lit(0).cast("bigint"), lambda n, x: n + F.char_length(x)).alias("context_chars"))
+    return a.select("article_id", "frame", F.size("c").cast("bigint").alias("n"), md5(_plain_letters(F.array_join("c", "|"))).alias("contexts_md5"))
+
+
+def _plain_letters(c: Column) -> Column:
+    """Letters beyond ASCII as z: the other engine finds whole words so."""
+    return F.regexp_replace(c, r"[^\x00-\x7F\P{L}]", "z")
+
+
+@query
+def frame_templates(spark, sf_dir):
+    """Wordings of the frames that an article has."""
+    a = articles(spark, sf_dir, "content").select("article_id", F.explode(N.frame_templates(F.col("content"))).alias("t"))
+    return a.select("article_id", "t.frame", "t.template")
 
 
 @query
@@ -235,7 +284,9 @@ def preprocessed(spark, sf_dir):
     """The whole preprocessing chain, summed up per article."""
     p = C.preprocess(articles(spark, sf_dir, "source", "date", "title", "content", "human_coding").where("content is not null"))
     sizes = ("leadership_contexts", "statistics", "paragraphs")
-    return p.select("article_id", "word_count", "sentence_count", *(F.size(c).cast("bigint").alias(f"n_{c}") for c in sizes), joined(F.array_sort(F.map_keys("demographics_found"))).alias("demographics"), joined(F.array_sort(F.map_keys("frame_candidates"))).alias("candidates"))
+    candidates = F.concat_ws("|", *(F.coalesce(F.array_join(F.try_element_at("frame_candidates", F.lit(f)), "|"), F.lit("")) for f in L.FRAMES))
+    hashes = {"cleaned": F.col("cleaned_content"), "sentences": F.array_join("sentences", "|"), "paragraphs": F.array_join("paragraphs", "|"), "candidates": _plain_letters(candidates)}
+    return p.select("article_id", "word_count", "sentence_count", *(md5(v).alias(f"{k}_md5") for k, v in hashes.items()), *(F.size(c).cast("bigint").alias(f"n_{c}") for c in sizes), joined(F.array_sort(F.map_keys("demographics_found"))).alias("demographics"), joined(F.array_sort(F.map_keys("frame_candidates"))).alias("candidates"))
 
 
 # --- features -------------------------------------------------------------------------------------------------------
@@ -295,12 +346,14 @@ def multihot_labels(spark, sf_dir):
 
 @query
 def feature_vectors(spark, sf_dir):
-    """Number of features that are not 0 and their sum, from the assembled vectors."""
+    """Number of features that are not 0, and their sum in millionths weighted by the places of their names, from the assembled vectors."""
     from pyspark.ml.functions import vector_to_array
 
     a = articles(spark, sf_dir, "content").where("content is not null")
+    names = E.numeric_features()
+    places = [sorted(names).index(n) + 1 for n in names]
     v = E.feature_vectors(a.select("article_id", "content")).select("article_id", vector_to_array("features").alias("x"))
-    return v.select("article_id", F.size(F.filter("x", lambda y: y != 0)).cast("bigint").alias("n_nonzero"), F.size("x").cast("bigint").alias("n_features"))
+    return v.select("article_id", F.size(F.filter("x", lambda y: y != 0)).cast("bigint").alias("n_nonzero"), F.size("x").cast("bigint").alias("n_features"), F.aggregate(F.zip_with("x", F.array(*map(F.lit, places)), lambda y, i: F.round(F.round(y, 6) * 1_000_000).cast("bigint") * i), F.lit(0).cast("bigint"), lambda n, y: n + y).alias("millionths"))
 
 
 # --- detection and analysis -----------------------------------------------------------------------------------------
@@ -340,6 +393,13 @@ def article_analysis(spark, sf_dir):
     return a.select("article_id", "segments_analyzed", joined("frames_detected").alias("frames"), joined("demographics").alias("demographics"), *_scores("frame_scores"), F.coalesce(F.try_element_at("frame_counts.frames", F.lit("underrepresentation")), F.lit(0)).cast("bigint").alias("n_underrepresentation"))
 
 
+@query
+def article_analysis_preprocessed(spark, sf_dir):
+    """Whole cleaned articles, keyword rules, with the groups of the cleaned text."""
+    a = A.FrameAnalyzer(D.KeywordDetector(), preprocess=True).analyze(articles(spark, sf_dir, "content").where("content is not null"), detailed=False)
+    return a.select("article_id", "segments_analyzed", joined("frames_detected").alias("frames"), joined("demographics").alias("demographics"), *_scores("frame_scores"))
+
+
 @query
 def analysis_summary(spark, sf_dir):
     s = A.FrameAnalyzer(D.KeywordDetector(), segment=True).summary(articles(spark, sf_dir, "content").where("content is not null"))
@@ -377,9 +437,8 @@ def frame_group_totals(spark, sf_dir):
 @query
 def annotation_counts(spark, sf_dir):
     """Annotations per frame and per group."""
-    f = _facts(spark, sf_dir)
-    frames = V.value_counts(f, "frame_type").select(F.lit("frame").alias("kind"), F.col("frame_type").alias("name"), "n")
-    return frames.unionByName(V.value_counts(f, "demographic_group").select(F.lit("group").alias("kind"), F.col("demographic_group").alias("name"), "n"))
+    names = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in (("frame", "frame_type"), ("group", "demographic_group")))))
+    return _facts(spark, sf_dir).select(names.alias("x")).groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _predictions(spark, sf_dir) -> DataFrame:
@@ -429,6 +488,13 @@ def tfidf_terms(spark, sf_dir):
     return df.orderBy(F.desc("n_articles"), "term").limit(1000).withColumn("idf", F.round(F.log((F.lit(n) + 1.0) / (F.col("n_articles") + 1.0)) + 1.0, 6))
 
 
+@query
+def tfidf_weights(spark, sf_dir):
+    """The thousand commonest words and pairs of words, with their articles, idf and summed weights."""
+    w = C.tfidf(articles(spark, sf_dir, "content"))
+    return w.groupBy("term").agg(F.sum("tf").alias("tf"), F.max("n_articles").alias("n_articles"), F.round(F.max("idf"), 6).alias("idf"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
 @query
 def source_frame_ranking(spark, sf_dir):
     """Frames by coded count within each source, with their share of the source."""

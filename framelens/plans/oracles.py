@@ -161,7 +161,7 @@ _STATS = f"t AS ({_stat('percentage', _PCT, 'NULL')} UNION ALL {_stat('compariso
 ORACLES["statistics_extract"] = with_(A, _STATS) + "SELECT article_id, type, value, direction, md5(substring(content, greatest(0, pos - 50)::BIGINT + 1, (pos + length(hit) + 50 - greatest(0, pos - 50))::BIGINT)) AS context_md5 FROM t"
 _CLEAN = f"k AS (SELECT article_id, {ascii_words('lower(' + cleaned('content') + ')')} AS low FROM a WHERE content IS NOT NULL)"
 _CAND = {f: "list_concat(" + ", ".join(f"(CASE WHEN contains(low, {s(t)}) THEN regexp_extract_all(low, {s('.{0,50}' + chr(92) + 'b' + t + chr(92) + 'b.{0,50}')}) ELSE []::VARCHAR[] END)" for t in terms) + ")" for f, terms in L.FRAME_INDICATORS.items()}
-ORACLES["frame_candidates"] = with_(A, _CLEAN, " , ".join([f"x AS ({' UNION ALL '.join(f'SELECT article_id, {s(f)} AS frame, {c} AS c FROM k' for f, c in _CAND.items())})"])) + "SELECT article_id, frame, len(c) AS n, list_sum(list_transform(c, lambda x: length(x)))::BIGINT AS context_chars FROM x WHERE len(c) > 0"
+ORACLES["frame_candidates"] = with_(A, _CLEAN, " , ".join([f"x AS ({' UNION ALL '.join(f'SELECT article_id, {s(f)} AS frame, {c} AS c FROM k' for f, c in _CAND.items())})"])) + "SELECT article_id, frame, len(c) AS n, md5(array_to_string(c, '|')) AS contexts_md5 FROM x WHERE len(c) > 0"
 
 
 def _quote(i: int, q: str, said: int, who: int | None) -> str:
@@ -197,10 +197,11 @@ ORACLES["exemplar_counts"] = (
 _CT = f"c AS (SELECT article_id, {cleaned('content')} AS t FROM a WHERE content IS NOT NULL)"
 _PP = f"d AS (SELECT article_id, t, {ascii_words('lower(t)')} AS low, " + ", ".join(f"{hits('p', _group_pattern(p))} AS {g}" for g, p in L.GROUP_PATTERNS.items()) + f" FROM (SELECT *, {doubled('t')} AS p FROM c))"
 _LEAD = " + ".join(f"(len(string_split_regex(low, {s(chr(92) + 'b' + t + chr(92) + 'b')})) - 1)" for t in L.LEADERSHIP_TERMS)
+_CMD5 = "md5(concat_ws('|', " + ", ".join(f"array_to_string({c}, '|')" for f in L.FRAMES for c in [_CAND[f]]) + "))"
 _CKEYS = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN len({c}) > 0 THEN {s(f)} END" for f, c in _CAND.items()) + "], lambda x: x IS NOT NULL)), ',')"
 ORACLES["preprocessed"] = (
     with_(A, _CT, _PP)
-    + f"SELECT article_id, {n_words('t')} AS word_count, len({sents('t')}) AS sentence_count, {_LEAD} AS n_leadership_contexts, len(regexp_extract_all(t, {s(_PCT)})) + len(regexp_extract_all(t, {s(_CMP)})) AS n_statistics, len({paras('t')}) AS n_paragraphs, {_KEYS} AS demographics, {_CKEYS} AS candidates FROM d"
+    + f"SELECT article_id, {n_words('t')} AS word_count, len({sents('t')}) AS sentence_count, md5(t) AS cleaned_md5, md5(array_to_string({sents('t')}, '|')) AS sentences_md5, md5(array_to_string({paras('t')}, '|')) AS paragraphs_md5, {_CMD5} AS candidates_md5, {_LEAD} AS n_leadership_contexts, len(regexp_extract_all(t, {s(_PCT)})) + len(regexp_extract_all(t, {s(_CMP)})) AS n_statistics, len({paras('t')}) AS n_paragraphs, {_KEYS} AS demographics, {_CKEYS} AS candidates FROM d"
 )
 
 # --- features
@@ -259,7 +260,7 @@ ORACLES["statistical_features"] = with_(A, _B) + _select(_STAT)
 ORACLES["context_features"] = with_(A, _B, _CX) + _select(_NEAR, extra="LEFT JOIN x ON x.article_id = b.article_id")
 ORACLES["all_features"] = with_(A, _B, _CX) + _select(_LEXALL, _DEM, _LING, _STAT, _NEAR, _SIZE, extra="LEFT JOIN x ON x.article_id = b.article_id")
 _VEC = {k: v for p in (_LEXALL, _DEM, _LING, _STAT, _NEAR, _SIZE) for k, v in p.items() if k != "stats_percentage_sum"}
-ORACLES["feature_vectors"] = with_(A, _B, _CX, "v AS (" + _select(_VEC, extra="LEFT JOIN x ON x.article_id = b.article_id") + ")") + "SELECT article_id, " + " + ".join(f"(coalesce({k}, 0) <> 0)::BIGINT" for k in _VEC) + f" AS n_nonzero, {len(_VEC)}::BIGINT AS n_features FROM v"
+ORACLES["feature_vectors"] = with_(A, _B, _CX, "v AS (" + _select(_VEC, extra="LEFT JOIN x ON x.article_id = b.article_id") + ")") + "SELECT article_id, " + " + ".join(f"(coalesce({k}, 0) <> 0)::BIGINT" for k in _VEC) + f" AS n_nonzero, {len(_VEC)}::BIGINT AS n_features, (" + " + ".join(f"round(coalesce({k}, 0) * 1000000)::BIGINT * {i + 1}" for i, k in enumerate(sorted(_VEC))) + ")::BIGINT AS millionths FROM v"
 ORACLES["multihot_labels"] = with_(A) + "SELECT article_id, " + ", ".join(f"coalesce(cardinality(human_coding[{s(f)}]) > 0, false)::BIGINT AS {f}" for f in L.FRAMES) + " FROM a"
 
 # --- detection
@@ -314,3 +315,53 @@ ORACLES["frame_group_matrix"] = (
     with_(A, _CT, _CS, _W, _WT, _WD, "e AS (" + " UNION ALL ".join(f"SELECT article_id, {s(f)} AS frame, unnest({_GROUPS_LIST}) AS grp FROM d WHERE {c.format('text')}" for f, c in (("underrepresentation", _UNDER), ("obstacles", _OBST))) + ")")
     + "SELECT frame, grp, count(*) AS n_windows, count(DISTINCT article_id) AS n_articles FROM e GROUP BY 1, 2"
 )
+
+
+# --- checks of the corpus, languages, wordings, weights of terms
+ORACLES["validation_counts"] = with_(A, f"u AS ({_UNNEST})") + (
+    "SELECT 'source' AS kind, source AS name, count(*) AS n FROM a GROUP BY 2 UNION ALL SELECT 'frame', frame_type, count(*) FROM u WHERE g IS NOT NULL GROUP BY 2 UNION ALL SELECT 'group', g.key, count(*) FROM u WHERE g IS NOT NULL GROUP BY 2"
+)
+ORACLES["incomplete_articles"] = "SELECT DISTINCT article_id, m AS missing FROM (SELECT article_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN {s(c)} END" for c in ("article_id", "source", "date", "title", "content", "human_coding")) + ") AS m FROM sample_articles) WHERE m <> ''"
+_LETTERS = "len(regexp_extract_all(content, '[\\p{L}\\p{M}]'))"
+_SCRIPT = {k: f"len(regexp_extract_all(content, '{p}'))" for k, p in L.SCRIPTS.items()}
+_LANG = (
+    f"n AS (SELECT article_id, {_LETTERS}::DOUBLE AS letters, " + ", ".join(f"{v} AS {k}_" for k, v in _SCRIPT.items()) + f", list_filter(string_split_regex(lower(content), '{NW}+'), lambda x: x <> '') AS w FROM a), "
+    "g AS (SELECT article_id, w, letters, " + ", ".join(f"least(1, {k}_ / letters) AS {k}" for k in _SCRIPT if k not in ("ja", "zh")) + ", CASE WHEN ja_ > 0 THEN least(1, least(1, ja_ / letters) + least(1, zh_ / letters)) ELSE 0 END AS ja, CASE WHEN ja_ > 0 THEN 0 ELSE least(1, zh_ / letters) END AS zh FROM n WHERE letters > 0), "
+    "h AS (SELECT *, greatest(0, 1 - (" + " + ".join(_SCRIPT) + ")) AS latin FROM g), "
+    "v AS (SELECT article_id, unnest([" + ", ".join([*(f"{{'l': {s(k)}, 's': {k}::DOUBLE}}" for k in _SCRIPT), *(f"{{'l': {s(k)}, 's': (latin * len(list_filter(w, lambda x: x IN {ins(ws)})) / greatest(len(w), 1))::DOUBLE}}" for k, ws in L.FUNCTION_WORDS.items())]) + "]) AS x FROM h), "
+    "l AS (SELECT article_id, x.l AS lang, x.s AS score FROM v WHERE x.s > 0 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY x.s DESC, x.l) = 1)"
+)
+ORACLES["languages"] = with_(A, _LANG) + "SELECT a.article_id, l.lang, round(l.score, 6) AS score FROM a LEFT JOIN l USING (article_id)"
+ORACLES["quality_issues"] = with_(A, _LANG, f"d AS (SELECT article_id, row_number() OVER (PARTITION BY {cleaned('content')} ORDER BY article_id) AS k FROM a WHERE content IS NOT NULL)") + (
+    "SELECT article_id, 'too short' AS issue FROM a WHERE content IS NULL OR length(content) < 100 UNION ALL SELECT article_id, 'too long' FROM a WHERE length(content) > 50000 "
+    "UNION ALL SELECT article_id, 'encoding' FROM a WHERE regexp_matches(content, '[\\x{FFFD}\\x00-\\x08\\x0E-\\x1F\\x7F]') UNION ALL SELECT article_id, 'language' FROM l WHERE lang <> 'en' UNION ALL SELECT article_id, 'duplicate' FROM d WHERE k > 1"
+)
+ORACLES["first_articles"] = with_(A) + "SELECT article_id, source, title FROM a ORDER BY article_id LIMIT 5"
+ORACLES["fold_assignment"] = with_(A) + "SELECT article_id, ('0x' || substring(md5(article_id || '_42'), 1, 8))::BIGINT % 5 AS fold FROM a"
+
+
+def _template(t: str) -> str:
+    """The other engine's words are ASCII; classes take the place of its own."""
+    from framelens.functions.language import template_pattern
+
+    word = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
+    return template_pattern(t).replace(r"[^\w]", NW).replace(r"\w", word).replace(r"\s", WS).replace(r"\d", r"\p{Nd}")
+
+
+ORACLES["frame_templates"] = with_(A, "w AS MATERIALIZED (SELECT article_id, lower(content) AS t FROM a)") + " UNION ALL ".join(f"SELECT article_id, {s(f)} AS frame, {s(t)} AS template FROM w WHERE regexp_matches(t, {s(_template(t))})" for f, ts in L.FRAME_TEMPLATES.items() for t in ts)
+ORACLES["article_analysis_preprocessed"] = (
+    with_(A, _CT, _PP, "z AS (SELECT article_id, t AS text, " + ", ".join(f"{v} AS {k}" for k, v in _mock("t").items()) + f", {_KEYS} AS k, concat_ws(',', CASE WHEN contains(lower(t), 'men') OR contains(lower(t), 'man') THEN 'men' END, CASE WHEN contains(lower(t), 'women') OR contains(lower(t), 'woman') THEN 'women' END) AS own FROM d)")
+    + f"SELECT article_id, 1::BIGINT AS segments_analyzed, {_frames({f: f for f in L.FRAMES})} AS frames, CASE WHEN k <> '' THEN k ELSE own END AS demographics, " + ", ".join(f"round({f}, 6) AS {f}" for f in L.FRAMES) + " FROM z"
+)
+ORACLES["tfidf_weights"] = (
+    with_(
+        A,
+        f"w AS (SELECT article_id, list_filter(string_split_regex(lower(content), '{NW}+'), lambda x: length(x) > 1) AS w FROM a WHERE content IS NOT NULL)",
+        "g AS (SELECT article_id, unnest(w) AS term FROM w UNION ALL SELECT article_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)",
+        "top AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 1000)",
+        "tf AS (SELECT article_id, term, count(*) AS tf FROM g SEMI JOIN top USING (term) GROUP BY 1, 2)",
+        "i AS (SELECT term, count(*) AS n_articles, ln(((SELECT count(*) FROM w) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf GROUP BY 1)",
+        "x AS (SELECT *, tf * idf AS raw FROM tf JOIN i USING (term)), m AS (SELECT article_id, sqrt(sum(raw * raw)) AS norm FROM x GROUP BY 1)",
+    )
+    + "SELECT term, sum(tf)::BIGINT AS tf, max(n_articles) AS n_articles, round(max(idf), 6) AS idf, round(sum(raw / norm), 4) AS weight FROM x JOIN m USING (article_id) GROUP BY 1"
+)

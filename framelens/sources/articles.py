@@ -17,7 +17,7 @@ log = logging.getLogger(__name__)
 #: A fixed schema: inference would make a struct of whichever groups occur.
 CODING_TYPE = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
 ARTICLE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("article_id", "source", "date", "title", "content", "url")] + [T.StructField("human_coding", CODING_TYPE)] + [T.StructField(c, T.StringType()) for c in ("author", "section")])
-REQUIRED = ("article_id", "source", "date", "title", "content")
+REQUIRED = ("article_id", "source", "date", "title", "content", "human_coding")
 DEFAULT_PATHS = ("data/articles.json", "data/sample_articles.json")
 
 
@@ -65,6 +65,14 @@ def missing_fields(df: DataFrame) -> list[str]:
     return [c for c in REQUIRED if c not in df.columns]
 
 
+def incomplete(df: DataFrame) -> DataFrame:
+    """(article_id, missing): the required fields that are null in a row, in their order; complete rows are left out. A column
+    that isn't there is missing in every row."""
+    lacking = [F.lit(c) if c not in df.columns else F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]
+    key = F.col("article_id") if "article_id" in df.columns else F.lit(None).cast("string").alias("article_id")
+    return df.select(key, F.array_compact(F.array(*lacking)).alias("missing")).where(F.size("missing") > 0)
+
+
 def _plain(df: DataFrame) -> DataFrame:
     """Nested columns as JSON strings, for formats without nesting."""
     return df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.MapType | T.ArrayType | T.StructType) else F.col(f.name) for f in df.schema))
@@ -102,6 +110,29 @@ def save_results(results: dict[str, Any] | DataFrame, path: str, format: str = "
     return None
 
 
+class Articles:
+    """Articles of one path, read when they are first asked for and kept then."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path
+        self._all: DataFrame | None = None
+        self._own: dict[str | None, DataFrame] = {}
+
+    def load(self) -> DataFrame:
+        """All articles as read, each delivery."""
+        if self._all is None:
+            self._all = read_articles(self.spark, self.path)
+        return self._all
+
+    def articles(self, source: str | None = None) -> DataFrame:
+        """Articles with their lengths, of one source if named."""
+        from framelens.operators.corpus import load_articles
+
+        if source not in self._own:
+            self._own[source] = load_articles(self.load(), source)
+        return self._own[source]
+
+
 class Cache:
     """DataFrames kept as Parquet under md5(path_version). Failures to read or write are logged, not raised."""
 
