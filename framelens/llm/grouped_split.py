@@ -12,6 +12,9 @@ repeated record counts once, with the values of all its rows; group ids are the
 
 from __future__ import annotations
 
+import math
+
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,9 +99,16 @@ def drawn(weights: dict[str, float], seed: int) -> Column:
     return F.array_min(F.array(*scores))["split"]
 
 
+def _unit(group: str, split: str, seed: int) -> float:
+    """A hash of group and split in (0, 1)."""
+    return ((xxhash.xxh3_64_intdigest(f"{group}|{split}|{seed}") >> 11) + 0.5) / float(2**53)
+
+
 def splits(grouped: DataFrame, shares: dict[str, float] = SHARES, key: str = "article_id", seed: int = 42) -> DataFrame:
-    """(key, group_id, split). Large groups, at most LARGE of them, go one by one to the split that is furthest below its share; all
-    others by weighted rendezvous hashing. The weights are what the splits still lack, corrected by what hashing then gives."""
+    """(key, group_id, split), all by weighted rendezvous hashing, whose weights are what the splits still lack.
+
+    Large groups, at most LARGE of them, go first and one by one, so that each changes the weights for the next and none goes
+    where it doesn't fit; the others together, with weights corrected by what hashing then gives."""
     grouped = cut(grouped, "groups")
     sizes = cut(grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     total = grouped.count()
@@ -106,7 +116,9 @@ def splits(grouped: DataFrame, shares: dict[str, float] = SHARES, key: str = "ar
     room = {s: share * total for s, share in shares.items()}
     placed = []
     for r in large:
-        to = max(room, key=lambda s: room[s])
+        # among the splits that have room for it; the roomiest if none has
+        fit = [s for s in room if room[s] >= r["n"]] or [max(room, key=lambda s: room[s])]
+        to = min(fit, key=lambda s: -math.log(_unit(r["group_id"], s, seed)) / max(room[s], 1e-9))
         room[to] -= r["n"]
         placed.append((r["group_id"], to))
     spark = grouped.sparkSession

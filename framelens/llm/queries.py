@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framelens.llm import crosssplit, encoding, grouped_split, mixing, neardup, packing, pieces, residue, sentences, tokens
 from framelens.operators import corpus
-from framelens.session import table
+from framelens.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds of the splits: every article once, no group parted, each share within a thousandth."""
-    s = p2_splits(spark, sf_dir)
+    s = cut(p2_splits(spark, sf_dir), "splits")
     by = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("parts"))
     whole = by.agg(F.sum("n").alias("n_articles"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("parts") > 1).alias("n_parted"))
     sizes = s.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
