@@ -17,12 +17,17 @@ from framelens.functions import text as X
 from framelens.session import cut, small
 
 
+#: Rows of a file whose losers are one row of what is sent to all, and how much of that there may be.
+BLOCK_BITS, LOST_BLOCKS, LOST_ROWS = 12, 400_000, 8_000_000
+
+
 def latest(articles: DataFrame, key: str = "article_id", order: str = "ingested_at") -> DataFrame:
     """One row an article, the latest; a null order comes before all others. Rows without a key are left out.
 
     Of a table read from files no text is moved: keys are counted by themselves, only repeated ones are settled, by order and
-    then by the place of the row in the files, and the rows that lose are left out by that place. Other tables are
-    reduced by key; of rows as late, the one with the largest hash is taken.
+    then by the place of the row in the files, and the rows that lose are left out by that place. Their places are sent to all,
+    block by block of a file, up to LOST_ROWS in LOST_BLOCKS (some 120 MB); only beyond that rows are joined by their place.
+    Other tables are reduced by key; of rows as late, the one with the largest hash is taken.
     """
     rows = articles.where(F.col(key).isNotNull())
     try:
@@ -34,7 +39,14 @@ def latest(articles: DataFrame, key: str = "article_id", order: str = "ingested_
     rank = F.struct(F.col(order).isNotNull(), order, "_file", "_row")
     best = of_repeated.groupBy(key).agg(F.max(rank).alias("_best"))
     losers = of_repeated.join(best, key).where(rank != F.col("_best")).select("_file", "_row")
-    return placed.join(small(cut(losers, "losers")), ["_file", "_row"], "left_anti").select(*articles.columns)
+    block = F.shiftright(F.col("_row"), BLOCK_BITS).alias("_block")
+    # one group is one block, of 2 ** BLOCK_BITS rows at most
+    lost = cut(losers.groupBy("_file", block).agg(F.collect_set("_row").alias("_lost")), "lost")
+    n = lost.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("_lost")).alias("rows")).first()
+    if n["blocks"] <= LOST_BLOCKS and (n["rows"] or 0) <= LOST_ROWS:
+        kept = placed.select("*", block).join(F.broadcast(lost), ["_file", "_block"], "left")
+        return kept.where(~F.coalesce(F.array_contains("_lost", F.col("_row")), F.lit(False))).select(*articles.columns)
+    return placed.join(lost.select("_file", F.explode("_lost").alias("_row")), ["_file", "_row"], "left_anti").select(*articles.columns)
 
 
 def _reduced(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -109,3 +109,32 @@ def agreement_metrics(flags: DataFrame) -> DataFrame:
 def match_accuracy(flags: DataFrame) -> DataFrame:
     """(frame, accuracy): share of equal flags, per frame and (frame null) overall."""
     return flags.rollup("frame").agg(F.avg((F.col("human") == F.col("ml")).cast("int")).alias("accuracy"))
+
+
+def repeated_measures(cells: DataFrame, conditions: tuple[str, ...], subject: str = "article_id", condition: str = "demographic_group", value: str = "count", by: str = "frame_type") -> DataFrame:
+    """One row for each ``by``: analysis of variance of the value over conditions within subjects.
+
+    (by, n, k, ss_conditions, ss_subjects, ss_error, df_conditions, df_error, f, partial_eta2). Every subject of the table is in
+    every ``by``; cells that aren't there, or are null, count 0, and cells that repeat add up. Null subjects take no part. f and
+    partial_eta2 are null where nothing varies, or with fewer than two subjects. Two passes of sums; nothing is collected.
+    """
+    k = len(conditions)
+    own = cells.where(F.col(subject).isNotNull())
+    n = own.agg(F.countDistinct(subject).alias("n"))
+    x = [F.coalesce(F.sum(F.when(F.col(condition) == c, F.col(value))), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(conditions)]
+    rows = own.where(F.col(by).isNotNull()).groupBy(by, subject).agg(*x)
+    cols = [F.col(f"x{i}") for i in range(k)]
+    total = sum(cols[1:], cols[0])
+    squares = sum((c * c for c in cols[1:]), cols[0] * cols[0])
+    sums = rows.groupBy(by).agg(*(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)), F.sum(total * total).alias("sq_subjects"), F.sum(squares).alias("sq"))
+    both = sums.join(F.broadcast(n))  # one row
+    s = [F.col(f"s{i}") for i in range(k)]
+    size = F.col("n") * F.lit(float(k))
+    correction = F.pow(sum(s[1:], s[0]), 2.0) / size
+    between = sum((c * c for c in s[1:]), s[0] * s[0]) / F.col("n") - correction
+    subjects = F.col("sq_subjects") / float(k) - correction
+    error = F.col("sq") - correction - between - subjects
+    df1, df2 = F.lit(k - 1), (F.lit(k - 1) * (F.col("n") - 1))
+    out = both.select(by, "n", F.lit(k).cast("bigint").alias("k"), between.alias("ss_conditions"), subjects.alias("ss_subjects"), error.alias("ss_error"), df1.cast("bigint").alias("df_conditions"), df2.cast("bigint").alias("df_error"))
+    some = (F.col("ss_error") > 1e-9) & (F.col("df_error") > 0)
+    return out.withColumn("f", F.when(some, F.col("ss_conditions") / F.col("df_conditions") / (F.col("ss_error") / F.col("df_error")))).withColumn("partial_eta2", F.when(some, F.col("ss_conditions") / (F.col("ss_conditions") + F.col("ss_error"))))

@@ -478,6 +478,13 @@ def icc(spark, sf_dir):
     return V.icc(r, "a", "b").select("n", F.round("icc_ref", 6).alias("icc_ref"), F.round("icc_2_1", 6).alias("icc_2_1"))
 
 
+@query
+def frame_anova(spark, sf_dir):
+    """Variance of the coded counts of each frame over the six groups within articles."""
+    r = V.repeated_measures(_facts(spark, sf_dir), L.SUMMARY_GROUPS)
+    return r.select("frame_type", "n", "df_conditions", "df_error", *(F.round(c, 4).alias(c) for c in ("ss_conditions", "ss_subjects", "ss_error", "f", "partial_eta2")))
+
+
 @query
 def tfidf_terms(spark, sf_dir):
     """Words by document frequency and idf: the thousand commonest, of which a limit is the point."""

@@ -365,3 +365,13 @@ ORACLES["tfidf_weights"] = (
     )
     + "SELECT term, sum(tf)::BIGINT AS tf, max(n_articles) AS n_articles, round(max(idf), 6) AS idf, round(sum(raw / norm), 4) AS weight FROM x JOIN m USING (article_id) GROUP BY 1"
 )
+ORACLES["frame_anova"] = (
+    with_(
+        FACTS,
+        "i AS (SELECT DISTINCT article_id FROM f WHERE article_id IS NOT NULL)",
+        f"c AS (SELECT i.article_id, t.frame_type, g.g, coalesce(sum(f.count), 0) AS x FROM i, (SELECT DISTINCT frame_type FROM f WHERE frame_type IS NOT NULL AND article_id IS NOT NULL) t, (VALUES {', '.join(f'({s(g)})' for g in L.SUMMARY_GROUPS)}) g(g) LEFT JOIN f ON f.article_id = i.article_id AND f.frame_type = t.frame_type AND f.demographic_group = g.g GROUP BY 1, 2, 3)",
+        "m AS (SELECT *, avg(x) OVER (PARTITION BY frame_type) AS m, avg(x) OVER (PARTITION BY frame_type, g) AS mg, avg(x) OVER (PARTITION BY frame_type, article_id) AS ma FROM c)",
+        "v AS (SELECT frame_type, count(DISTINCT article_id) AS n, sum((mg - m) ** 2) AS b, sum((ma - m) ** 2) AS a, sum((x - mg - ma + m) ** 2) AS e FROM m GROUP BY 1)",
+    )
+    + "SELECT frame_type, n, 5::BIGINT AS df_conditions, 5 * (n - 1) AS df_error, round(b, 4) AS ss_conditions, round(a, 4) AS ss_subjects, round(e, 4) AS ss_error, round((b / 5) / (e / (5 * (n - 1))), 4) AS f, round(b / (b + e), 4) AS partial_eta2 FROM v"
+)

@@ -163,3 +163,21 @@ def test_only_a_missing_subpackage_is_forgiven(monkeypatch):
     assert "p1_found" in importlib.reload(entry).queries()
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_repeated_measures_against_its_definition(spark):
+    x = {"a": (3, 1, 2), "b": (5, 2, 2), "c": (4, 0, 3), "d": (0, 0, 0)}
+    rows = [(k, "obstacles", g, float(v), 7) for k, vs in x.items() for g, v in zip(("u", "v", "w"), vs) if v] + [("d", "obstacles", "other", 9.0, 7), ("a", "successes", "u", None, 7), (None, "obstacles", "u", 5.0, 7), ("a", None, "u", 5.0, 7)]
+    df = spark.createDataFrame(rows, "article_id string, frame_type string, demographic_group string, count double, n int")
+    got = {r["frame_type"]: r for r in V.repeated_measures(df, ("u", "v", "w")).collect()}
+    m = [list(v) for v in x.values()]
+    grand = sum(map(sum, m)) / 12
+    cond = sum(4 * (sum(r[j] for r in m) / 4 - grand) ** 2 for j in range(3))
+    subj = sum(3 * (sum(r) / 3 - grand) ** 2 for r in m)
+    err = sum((v - grand) ** 2 for r in m for v in r) - cond - subj
+    r = got["obstacles"]
+    assert (r["n"], r["k"], r["df_conditions"], r["df_error"]) == (4, 3, 2, 6)
+    assert abs(r["ss_conditions"] - cond) < 1e-9 and abs(r["ss_subjects"] - subj) < 1e-9 and abs(r["ss_error"] - err) < 1e-9
+    assert abs(r["f"] - (cond / 2) / (err / 6)) < 1e-9 and abs(r["partial_eta2"] - cond / (cond + err)) < 1e-9
+    assert got["successes"]["f"] is None
+    assert V.repeated_measures(df.limit(0), ("u", "v")).count() == 0

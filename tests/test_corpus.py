@@ -137,6 +137,16 @@ def test_latest_rows(spark, tmp_path):
     assert C.latest(spark.read.parquet(str(tmp_path / "t")).limit(0)).count() == 0
 
 
+def test_latest_rows_beyond_what_is_sent(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"k{i % 700}", i, f"text {i}") for i in range(10_000)], "article_id string, ingested_at int, content string")
+    df.coalesce(1).write.parquet(str(tmp_path / "t"))
+    want = {(f"k{i}", f"text {max(range(i, 10_000, 700))}") for i in range(700)}
+    for most in (8_000_000, 5):
+        monkeypatch.setattr(C, "LOST_ROWS", most)
+        got = C.latest(spark.read.parquet(str(tmp_path / "t"))).select("article_id", "content").collect()
+        assert {tuple(r) for r in got} == want and len(got) == 700
+
+
 def test_latest_moves_no_text(spark, tmp_path):
     spark.createDataFrame([("a", 1, "x y", "s"), ("a", 2, "y z", "s")], "article_id string, ingested_at int, content string, source string").write.parquet(str(tmp_path / "sample_articles.parquet"))
     from framelens.plans.analysis import QUERIES
