@@ -39,6 +39,7 @@ def quotes(text: Column, strict: bool = False) -> Column:
 
     empty = F.array().cast("array<struct<text:string,attribution:string,full_match:string,pattern_id:int>>")
     verbs = F.lower(text).rlike("said|says|according to|stated")
+    beside = (r'(?iU)"\s*,?\s*(?:said|says|according to)\s', r'(?iU)\s(?:said|says|stated)\s*,?\s*"')
 
     def of(i: int, said: int, speaker: int | None) -> Column:
         p = "(?iU)" + L.QUOTE_PATTERNS[i]
@@ -48,8 +49,8 @@ def quotes(text: Column, strict: bool = False) -> Column:
             who = X.strip(F.regexp_extract(m, p, speaker)) if speaker else F.lit(None).cast("string")
             return F.struct(X.strip(F.regexp_extract(m, p, said)).alias("text"), who.alias("attribution"), m.alias("full_match"), F.lit(i + 1).alias("pattern_id"))
 
-        # the patterns are slow on long texts, and match nothing without quotation marks and, but for the last, a verb
-        possible = text.contains('"') & verbs if speaker else text.contains('"')
+        # the patterns are slow on long texts, and match nothing without quotation marks and, but for the last, a verb beside one
+        possible = text.contains('"') & verbs & text.rlike(beside[i]) if speaker else text.contains('"')
         return F.when(possible, F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), speech)).otherwise(F.when(text.isNotNull(), empty))
 
     return F.concat(of(0, 1, 2), of(1, 1, 2) if strict else of(1, 2, 1), of(2, 1, None))

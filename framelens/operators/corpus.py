@@ -34,19 +34,54 @@ def latest(articles: DataFrame, key: str = "article_id", order: str = "ingested_
         placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
         return _reduced(rows, key, order)
-    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
-    of_repeated = placed.select(key, order, "_file", "_row").join(small(cut(repeated, "repeated")), key, "left_semi")
+    lost, n_blocks, n_rows = _lost(placed.select(key, order, "_file", "_row"), key, order)
+    block = F.shiftright(F.col("_row"), BLOCK_BITS).alias("_block")
+    if n_blocks <= LOST_BLOCKS and n_rows <= LOST_ROWS:
+        kept = placed.select("*", block).join(F.broadcast(lost), ["_file", "_block"], "left")
+        return kept.where(~F.coalesce(F.array_contains("_lost", F.col("_row")), F.lit(False))).select(*articles.columns)
+    return placed.join(lost.select("_file", F.explode("_lost").alias("_row")), ["_file", "_row"], "left_anti").select(*articles.columns)
+
+
+def _lost(placed: DataFrame, key: str, order: str) -> tuple[DataFrame, int, int]:
+    """(_file, _block, _lost) of the rows that are not the latest of their key, how many blocks and how many rows.
+
+    The table is kept for the application: the next query over the same files, unchanged, finds it.
+    """
+    context = placed.sparkSession.sparkContext
+    known = context.__dict__.setdefault("_framelens_lost", {})
+    stamp = _stamp(placed)
+    if stamp is not None and stamp in known:
+        return known[stamp]
+    repeated = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    of_repeated = placed.join(small(cut(repeated, "repeated")), key, "left_semi")
     rank = F.struct(F.col(order).isNotNull(), order, "_file", "_row")
     best = of_repeated.groupBy(key).agg(F.max(rank).alias("_best"))
     losers = of_repeated.join(best, key).where(rank != F.col("_best")).select("_file", "_row")
-    block = F.shiftright(F.col("_row"), BLOCK_BITS).alias("_block")
     # one group is one block, of 2 ** BLOCK_BITS rows at most
-    lost = cut(losers.groupBy("_file", block).agg(F.collect_set("_row").alias("_lost")), "lost")
+    lost = cut(losers.groupBy("_file", F.shiftright(F.col("_row"), BLOCK_BITS).alias("_block")).agg(F.collect_set("_row").alias("_lost")), "lost")
     n = lost.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("_lost")).alias("rows")).first()
-    if n["blocks"] <= LOST_BLOCKS and (n["rows"] or 0) <= LOST_ROWS:
-        kept = placed.select("*", block).join(F.broadcast(lost), ["_file", "_block"], "left")
-        return kept.where(~F.coalesce(F.array_contains("_lost", F.col("_row")), F.lit(False))).select(*articles.columns)
-    return placed.join(lost.select("_file", F.explode("_lost").alias("_row")), ["_file", "_row"], "left_anti").select(*articles.columns)
+    out = lost, n["blocks"], n["rows"] or 0
+    if stamp is not None:
+        known[stamp] = out
+    return out
+
+
+#: Tables of more files than this are settled anew by each query: asking for all their dates would take longer.
+STAMPED_FILES = 1_000
+
+
+def _stamp(df: DataFrame) -> tuple | None:
+    """What tells whether a plan over files would give the same rows again: the plan, and name, length and date of each file."""
+    files = df.inputFiles()
+    if len(files) > STAMPED_FILES:
+        return None
+    hadoop, Path = df.sparkSession.sparkContext._jsc.hadoopConfiguration(), df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    states = []
+    for f in sorted(files):
+        at = Path(df.sparkSession.sparkContext._jvm.java.net.URI(f))
+        status = at.getFileSystem(hadoop).getFileStatus(at)
+        states.append((f, status.getLen(), status.getModificationTime()))
+    return df._jdf.queryExecution().optimizedPlan().canonicalized().toString(), tuple(states)
 
 
 def _reduced(rows: DataFrame, key: str, order: str) -> DataFrame:

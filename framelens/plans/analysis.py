@@ -16,7 +16,7 @@ from framelens.operators import analyze as A
 from framelens.operators import corpus as C
 from framelens.operators import detect as D
 from framelens.operators import evaluate as V
-from framelens.session import table
+from framelens.session import spread, table
 from framelens.sources import articles as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,9 +27,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The latest row of each article, of the columns needed only."""
-    return C.latest(table(spark, sf_dir, "sample_articles").select("article_id", "ingested_at", *columns))
+def articles(spark: SparkSession, sf_dir: str, *columns: str, light: bool = False) -> DataFrame:
+    """The latest row of each article, of the columns needed only.
+
+    Work on contents is spread over all cores where the table is so small that it is read by fewer, unless it is ``light``.
+    """
+    read = table(spark, sf_dir, "sample_articles").select("article_id", "ingested_at", *columns)
+    rows = C.latest(read)
+    return spread(rows, like=read) if "content" in columns and not light else rows
 
 
 def md5(c: Column | str) -> Column:
@@ -56,7 +61,7 @@ def canonical_sources(spark, sf_dir):
 
 @query
 def article_lengths(spark, sf_dir):
-    return C.load_articles(articles(spark, sf_dir, "content")).select("article_id", "content_length", "word_count")
+    return C.load_articles(articles(spark, sf_dir, "content", light=True)).select("article_id", "content_length", "word_count")
 
 
 @query
@@ -68,7 +73,7 @@ def source_filter(spark, sf_dir):
 
 @query
 def length_stats(spark, sf_dir):
-    s = V.length_stats(C.load_articles(articles(spark, sf_dir, "content")))
+    s = V.length_stats(C.load_articles(articles(spark, sf_dir, "content", light=True)))
     return s.select(F.round("mean_chars", 6).alias("mean_chars"), F.round("mean_words", 6).alias("mean_words"), "min_words", "max_words")
 
 
@@ -92,12 +97,12 @@ def parsed_coding(spark, sf_dir):
 
 @query
 def validation_report(spark, sf_dir):
-    return C.validation_summary(articles(spark, sf_dir, "source", "date", "content", "human_coding"))
+    return C.validation_summary(articles(spark, sf_dir, "source", "date", "content", "human_coding", light=True))
 
 
 @query
 def validation_issues(spark, sf_dir):
-    return C.issues(articles(spark, sf_dir, "content", "human_coding"))
+    return C.issues(articles(spark, sf_dir, "content", "human_coding", light=True))
 
 
 @query
@@ -171,19 +176,19 @@ def current_splits(spark, sf_dir):
 
 @query
 def clean_text_stats(spark, sf_dir):
-    a = articles(spark, sf_dir, "content").select("article_id", X.clean_text(F.col("content")).alias("t"))
+    a = articles(spark, sf_dir, "content", light=True).select("article_id", X.clean_text(F.col("content")).alias("t"))
     return a.select("article_id", F.char_length("t").cast("bigint").alias("cleaned_length"), F.when(F.col("t").isNotNull(), X.word_count(F.col("t"))).alias("cleaned_words"), md5("t").alias("cleaned_md5"))
 
 
 @query
 def sentence_counts(spark, sf_dir):
-    a = articles(spark, sf_dir, "content").where("content is not null").select("article_id", X.sentences(F.col("content")).alias("s"))
+    a = articles(spark, sf_dir, "content", light=True).where("content is not null").select("article_id", X.sentences(F.col("content")).alias("s"))
     return a.select("article_id", F.size("s").cast("bigint").alias("n_sentences"), md5(F.array_join("s", "|")).alias("sentences_md5"))
 
 
 @query
 def paragraph_counts(spark, sf_dir):
-    a = articles(spark, sf_dir, "content").where("content is not null").select("article_id", X.paragraphs(F.col("content")).alias("p"))
+    a = articles(spark, sf_dir, "content", light=True).where("content is not null").select("article_id", X.paragraphs(F.col("content")).alias("p"))
     return a.select("article_id", F.size("p").cast("bigint").alias("n_paragraphs"), md5(F.array_join("p", "|")).alias("paragraphs_md5"))
 
 
@@ -225,7 +230,7 @@ def intersectional_flags(spark, sf_dir):
 
 @query
 def simple_demographics(spark, sf_dir):
-    a = articles(spark, sf_dir, "content").where("content is not null")
+    a = articles(spark, sf_dir, "content", light=True).where("content is not null")
     return a.select("article_id", joined(X.simple_demographics(F.col("content"))).alias("groups"))
 
 
@@ -365,7 +370,7 @@ def _scores(col: str) -> list[Column]:
 
 @query
 def mock_predictions(spark, sf_dir):
-    a = articles(spark, sf_dir, "content").where("content is not null")
+    a = articles(spark, sf_dir, "content", light=True).where("content is not null")
     p = D.detect(a, D.KeywordDetector(), "content")
     return p.select("article_id", joined("prediction.frames").alias("frames"), *_scores("prediction.scores"))
 

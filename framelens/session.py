@@ -103,10 +103,13 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
-    """More partitions for heavy per-row work where the input has fewer than the cluster has cores (small files only)."""
+def spread(df: DataFrame, at_least: int | None = None, like: DataFrame | None = None) -> DataFrame:
+    """More partitions for heavy per-row work where the input has fewer than the cluster has cores (small files only).
+
+    ``like``: what df is read from, if df is more than a scan, so that counting its partitions runs nothing.
+    """
     want = at_least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df.repartition(want) if (like or df).rdd.getNumPartitions() < want else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -171,3 +171,14 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
                 session.shared_dir(fake)
         else:
             assert session.shared_dir(fake).startswith("file:///")
+
+
+def test_what_was_settled_is_settled_anew_when_files_change(spark, tmp_path):
+    path = str(tmp_path / "a b.parquet")
+    write = lambda rows: spark.createDataFrame(rows, "article_id string, ingested_at int, content string").coalesce(1).write.mode("overwrite").parquet(path)
+    read = lambda **w: {tuple(r) for r in C.latest(spark.read.parquet(path), **w).select("article_id", "content").collect()}
+    write([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")])
+    assert read() == read() == {("a", "y"), ("b", "z")}
+    assert {tuple(r) for r in C.latest(spark.read.parquet(path).where("content <> 'y'")).select("article_id", "content").collect()} == {("a", "x"), ("b", "z")}
+    write([("a", 3, "x"), ("a", 2, "y"), ("b", 1, "z"), ("b", 2, "w")])
+    assert read() == {("a", "x"), ("b", "w")}
