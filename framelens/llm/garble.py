@@ -161,6 +161,30 @@ def legacy_misread(run: str) -> tuple[str, str, str] | None:
     return None
 
 
+def latin_in_cyrillic(run: str, before: str, after: str) -> str | None:
+    """The Latin letter that two characters stand for which Russian could write too, if they stand in a Latin word: ``SeГ±ora``."""
+    if len(run) != 2 or run[0] not in "ГД" or not (before + after).isascii() or not (before.isalpha() or after.isalpha()):
+        return None
+    raw = to_bytes(run, "cp1251")
+    try:
+        back = raw.decode("utf-8") if raw else ""
+    except UnicodeDecodeError:
+        return None
+    return back if len(back) == 1 and back.isalpha() and script(back) == "latin" else None
+
+
+#: The first byte of a Latin letter in UTF-8, as codecs show it that no language in use writes inside a word.
+LONE_LEADS = {"Ă": "cp1250", "√": "mac_roman", "├": "cp437"}
+
+#: A stretch of what a single-byte Western codec makes of bytes, inside a run that goes on in another script.
+_WESTERN = re.compile("[\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{8,}")
+
+
+def legacy_inside(run: str) -> list[tuple[str, str, str, str]]:
+    """(wrong, true, stretch, text) of the stretches of a run that are text in a legacy codec, the run itself not being one."""
+    return [(*hit[:2], m.group(), hit[2]) for m in _WESTERN.finditer(run) if len(m.group()) < len(run) and (hit := legacy_misread(m.group())) is not None]
+
+
 def shift_jis_misread(text: str) -> list[tuple[int, int, str]]:
     """(start, end, text as written) of stretches of Shift-JIS read as cp1252; their second bytes may be ASCII."""
     found = []
@@ -247,13 +271,22 @@ def suspects(text: str | None) -> list[tuple[str, str, str]]:
         runs -= set(RUN.findall(text[a:b]))
     for run in runs:
         if len(run) < 2:
+            if run in LONE_LEADS and re.search(f"[A-Za-z]{run}[A-Za-z]", text):
+                out.append((f"{prefix}{LONE_LEADS[run]}>utf-8", run, ""))  # its second byte is lost
             continue
         if (hit := utf8_misread(run)) is not None:
             out.append((f"{prefix}{hit[0]}>utf-8", run, restore(hit[1])))
         elif (old := legacy_misread(run)) is not None:
             out.append((f"{prefix}{old[0]}>{old[1]}", run, old[2]))
+        elif len(run) > 8 and (inside := legacy_inside(run)):
+            out += [(f"{prefix}{w}>{t}", x, back) for w, t, x, back in inside]
         elif (part := _partly(run)) is not None:
             out.append((f"{prefix}{part[0]}>utf-8", run, part[1]))
+        elif run[0] in "ГД" and len(run) == 2:
+            for m in re.finditer(re.escape(run), text):
+                if (back := latin_in_cyrillic(run, text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1])) is not None:
+                    out.append((f"{prefix}cp1251>utf-8", run, back))
+                    break
     if len(out) == 1 and _capital_and_mark(text, out[0][1]):
         out.clear()
     if CYRILLIC.search(joined) and (swap := swapped_case(text)) is not None:
@@ -310,8 +343,14 @@ def _undo_line(line: str, shown: list[str]) -> str:
             return hit[2]
         if legacy is not None and (back := _read_again(run, *legacy)) is not None:
             return back
+        if len(run) > 8 and (inside := legacy_inside(run)):
+            for _, _, x, back in inside:
+                run = run.replace(x, back)
+            return run
         if (part := _partly(run)) is not None:
             return part[1]
+        if (back := latin_in_cyrillic(run, line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1])) is not None:
+            return back
         for wrong in dict.fromkeys(shown):
             if len(run) >= 2 and (back := _read_again(run, wrong, "utf-8")) is not None and len(back) < len(run):
                 return back

@@ -132,3 +132,22 @@ def test_the_latest_garbled_row_is_restored(spark):
     rows = [("a", text, 1), ("a", "Shorter now, about Zürich – once".encode().decode("latin-1"), 2), ("a", "x", None)]
     df = spark.createDataFrame(rows, "article_id string, content string, ingested_at int")
     assert [tuple(r) for r in N.restored(df, fields=("content",)).collect()] == [("a", "content", "Shorter now, about Zürich – once", True)]
+
+
+def test_letters_that_russian_could_write_prove_nothing_but_in_a_latin_word():
+    assert G.suspects("SeГ±ora Ricriclin") == [("cp1251>utf-8", "Г±", "ñ")] and G.restore("SeГ±ora ElpГ®n") == "Señora Elpîn"
+    assert not G.suspects("Газета Г± и том Г§ё") and not G.suspects("§ 5 Г± x")
+
+
+def test_a_stretch_in_a_legacy_codec_inside_another_script():
+    zh = "布塞米玛终于成功了，这是第一次！"
+    bad = zh.encode("gb18030").decode("cp1252", "replace")
+    text = f"成功了！{zh.encode('gb18030').decode('latin-1')}据里介绍"
+    assert "�" not in bad or text
+    assert G.suspects(text) and G.restore(text) == f"成功了！{zh}据里介绍"
+    assert not G.suspects("他说——“……”——成功了！")
+
+
+def test_a_lone_lead_byte_inside_a_word():
+    assert [k for k, *_ in G.suspects("THE FILM BUSINESS IN SĂO OSLUEL")] == ["cp1250>utf-8"]
+    assert not G.suspects("Ă la carte") and not G.suspects("√2")
