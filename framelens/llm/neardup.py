@@ -11,7 +11,8 @@
    snippets allow the threshold; only those leave the task. Then the union sketch estimates the similarity, and the texts decide.
 
 Defined results: null or short content (< LEAST_CONTENT characters) takes no part; a null title counts as empty; repeated
-rows of an article count once; texts without any snippet pair with nothing; empty tables give empty results.
+rows of an article count once, and of an article whose rows differ every text takes part; texts without any snippet pair with
+nothing; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -222,7 +223,9 @@ def estimated(pairs: DataFrame, sketched: DataFrame, threshold: float, k: int =
     inter = F.array_intersect(F.transform("sa", _unsigned), F.transform("sb", _unsigned))
     both = both.withColumn("u", union)
     est = F.size(F.array_intersect("u", inter)) / F.size("u")
-    return both.where(est >= threshold - slack(threshold, k)).select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"))
+    # two texts of one article are no pair; those of two articles may be several
+    near = both.where((est >= threshold - slack(threshold, k)) & (F.col("rep_a") != F.col("rep_b")))
+    return near.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
 
 
 def _unsigned(x):
@@ -231,19 +234,21 @@ def _unsigned(x):
 
 
 def with_texts(pairs: DataFrame, articles: DataFrame, key: str = "article_id") -> DataFrame:
-    """Adds the texts of both sides. Only the articles named in a pair are shuffled.
+    """Adds the texts of both sides, all different ones of an article (its rows are few). Only the articles named in a pair are
+    shuffled.
 
     The set of names is broadcast if it is counted to be small (BROADCAST_ROWS), else joined by shuffle.
     """
     names = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("k")).distinct()
-    texts = articles.select(F.col(key).alias("k"), "title", "content").join(small(names), "k", "left_semi").dropDuplicates(["k"])
-    t = texts.select("k", F.struct("title", "content").alias("t"))
+    texts = articles.select(F.col(key).alias("k"), "title", "content").join(small(names), "k", "left_semi")
+    t = texts.groupBy("k").agg(F.collect_set(F.struct("title", "content")).alias("t"))
     out = pairs.join(t.select(F.col("k").alias("rep_a"), F.col("t").alias("ta")), "rep_a")
     return out.join(t.select(F.col("k").alias("rep_b"), F.col("t").alias("tb")), "rep_b")
 
 
 def verified(pairs: DataFrame, articles: DataFrame, threshold: float, key: str = "article_id", containment: bool = False) -> DataFrame:
-    """(rep_a, rep_b, similarity) by the whole texts: Jaccard, or the share of a's snippets that b has."""
+    """(rep_a, rep_b, similarity) by the whole texts: Jaccard, or the share of a's snippets that b has; of articles with
+    several texts the nearest two count."""
 
     def run(batches):
         for b in batches:
@@ -254,17 +259,20 @@ def verified(pairs: DataFrame, articles: DataFrame, threshold: float, key: str =
                 if name not in seen:
                     if len(seen) > 2000:
                         seen.clear()
-                    seen[name] = P.snippet_set(P.normalised(t["title"], t["content"]))
+                    seen[name] = [P.snippet_set(P.normalised(x["title"], x["content"])) for x in t]
                 return seen[name]
 
-            for x, y, tx, ty in zip(b["rep_a"], b["rep_b"], b["ta"], b["tb"]):
-                p, q = of(x, tx), of(y, ty)
+            def similarity(p, q):
                 n = P.common(p, q)
                 size = len(p) if containment else len(p) + len(q) - n
-                if size and n >= threshold * size:
+                return n / size if size and n >= threshold * size else -1.0
+
+            for x, y, tx, ty in zip(b["rep_a"], b["rep_b"], b["ta"], b["tb"]):
+                best = max(similarity(p, q) for p in of(x, tx) for q in of(y, ty))
+                if best >= 0:
                     out["rep_a"].append(x)
                     out["rep_b"].append(y)
-                    out["similarity"].append(n / size)
+                    out["similarity"].append(best)
             yield out
 
     return map_rows(with_texts(pairs, articles, key), run, "rep_a string, rep_b string, similarity double")
@@ -274,7 +282,7 @@ def links(articles: DataFrame, threshold: float = 0.8, key: str = "article_id")
     """(pairs of representatives with their similarity, membership: key, rep). Both rest on written tables."""
     sketched = cut(sketches(articles, key).withColumn("row", F.monotonically_increasing_id()), "sketches")
     named = cut(classes(sketched.select("key", "row", "c1", "c2")), "classes")
-    members = cut(sketched.select("key", "c1", "c2").distinct().join(named, ["c1", "c2"]).select("key", "rep"), "members")
+    members = cut(sketched.select("key", "c1", "c2").distinct().join(named, ["c1", "c2"]).select("key", "rep").distinct(), "members")
     reps = sketched.select(F.col("row").alias("rid"), "n", "sketch").join(small(named.select("rid")), "rid", "left_semi")
     near = cut(estimated(cut(candidates(postings(reps, threshold), threshold), "candidates"), sketched, threshold), "near")
     return verified(near, articles, threshold, key), members
